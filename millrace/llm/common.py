@@ -52,7 +52,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.Generator(np.random.PCG64(0x5EED))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_RNG.integers(1, 2**62)) * 8 + 5
+_BASE = (int(_RNG.integers(1, 2**62)) * 8 + 5) % 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _COEF = _RNG.integers(1, 2**63, (4, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {}

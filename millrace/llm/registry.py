@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import pieces, pii, quality, secrets
+from . import chat, decontaminate, language, passages, perplexity, pieces, pii, quality, secrets, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_pieces": pieces.op2_pieces,
     "op3_secrets": secrets.op3_secrets,
+    "op4_passages": passages.op4_passages,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_language": language.op6_language,
+    "op7_perplexity": perplexity.op7_perplexity,
     "op8_quality": quality.op8_quality,
+    "op9_chat": chat.op9_chat,
+    "op10_simhash": simhash.op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+#: The others are held against brute-force versions in tests/llm.
+ORACLES: dict[str, str] = {"op4_passages": passages.ORACLE, "op9_chat": chat.ORACLE}
