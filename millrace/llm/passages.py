@@ -6,8 +6,8 @@ smaller id, together with every word that it covers.
 Anchors are hashes of ANCHOR words at positions whose remainder modulo PERIOD is in COVER.  COVER is a difference
 cover: for any two positions there is a shift below PERIOD that takes both to cover positions.  As
 PERIOD + ANCHOR - 1 = WINDOW, two equal windows share an anchor at one and the same place inside them.  So only anchors
-are compared between all documents; where one is shared, it is extended to the windows around it, and these are
-compared in full (96 bits of hash).
+are compared between all documents (48 bits of hash: a chance meeting costs a few windows more to compare, nothing
+else); where one is shared, it is extended to the windows around it, and these are compared in full (80 bits of hash).
 
 Documents are dealt into chunks by the hash of their id.  A chunk sends every distinct anchor or window once, so a
 passage that a third of all documents hold costs one row a chunk.  Chunks read their texts again instead of sending
@@ -51,7 +51,7 @@ class Chunk:
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """(positions, hashes) of the anchors."""
         where = np.flatnonzero(self._whole(ANCHOR) & _IN_COVER[self.at[: max(0, len(self.words) - ANCHOR + 1)] % PERIOD])
-        return where, window_hashes(self.words, ANCHOR)[where]
+        return where, window_hashes(self.words, ANCHOR)[where] >> np.uint64(16)
 
     def windows(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(positions, two hashes) of the windows that hold a marked anchor; marked: positions of anchors."""
@@ -60,7 +60,7 @@ class Chunk:
         before = np.concatenate([[0], np.cumsum(flags)])
         n = max(0, len(self.words) - WINDOW + 1)
         start = np.flatnonzero(self._whole(WINDOW) & (before[PERIOD : n + PERIOD] > before[:n]))
-        return start, window_hashes(self.words, WINDOW, 1)[start], window_hashes(self.words, WINDOW, 2)[start] >> np.uint64(32)
+        return start, window_hashes(self.words, WINDOW, 1)[start], window_hashes(self.words, WINDOW, 2)[start] >> np.uint64(48)
 
 
 def _groups(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,13 +104,13 @@ def _member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 def _send_windows(rows: pa.Table, reply: pa.Table) -> pa.Table:
     """Each distinct window around an anchor that other chunks have too, with the least id that has it here."""
-    chunk, number = Chunk(rows), rows.column("chunk")[0].as_py() if rows.num_rows else 0
+    chunk = Chunk(rows)
     where, hashes = chunk.anchors()
     start, h, x = chunk.windows(where[_member(hashes, _known(reply, "h"))])
     ids = chunk.ids[chunk.doc[start]]
     order, group, least = _groups(ids, h, x)
     first = order[np.searchsorted(group, np.arange(len(least)))]
-    return pa.table({"chunk": pa.array(np.full(len(first), number, np.int32)), "h": pa.array(signed(h[first])), "x": pa.array(x[first].astype(np.uint32).view(np.int32)), "least": pa.array(least.astype(np.int64))})
+    return pa.table({"h": pa.array(signed(h[first])), "x": pa.array(x[first].astype(np.int32)), "least": pa.array(least.astype(np.int64))})
 
 
 def _remove(rows: pa.Table, reply: pa.Table) -> pa.Table:
@@ -118,7 +118,7 @@ def _remove(rows: pa.Table, reply: pa.Table) -> pa.Table:
     chunk = Chunk(rows)
     where, hashes = chunk.anchors()
     anchor_ids = chunk.ids[chunk.doc[where]]
-    rh, rx = reply.column("h").to_numpy().view(np.uint64), reply.column("x").to_numpy().view(np.uint32).astype(np.uint64)
+    rh, rx = reply.column("h").to_numpy().view(np.uint64), reply.column("x").to_numpy().astype(np.uint64)
     # Windows to judge: around anchors shared inside the chunk, and all that the reply may name.
     here, h1, x1 = chunk.windows(where[_shared_inside(anchor_ids, hashes)])
     order, group, least = _groups(chunk.ids[chunk.doc[here]], h1, x1)
@@ -128,7 +128,7 @@ def _remove(rows: pa.Table, reply: pa.Table) -> pa.Table:
         h = window_hashes(chunk.words, WINDOW, 1)[every]
         maybe = _member(h, np.sort(rh))
         every, h = every[maybe], h[maybe]
-        x = window_hashes(chunk.words, WINDOW, 2)[every] >> np.uint64(32)
+        x = window_hashes(chunk.words, WINDOW, 2)[every] >> np.uint64(48)
         mixed = lambda a, b: a ^ (b * np.uint64(0x9E3779B97F4A7C15))
         gone.append(every[_member(mixed(h, x), np.sort(mixed(rh, rx)))])
     starts = np.concatenate(gone)
@@ -149,14 +149,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: id, number of words, number removed, and the kept words joined by one space
     (``kept``, or with ``digest`` its SHA-256 ``kept_sha256``, made where the words are)."""
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    placed = with_chunk(columns.filter("doc_id IS NOT NULL"), chunk_count(columns))
+    chunks = chunk_count(columns)
+    placed = with_chunk(columns.filter("doc_id IS NOT NULL"), chunks)
     schema = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept string")
     finish = _digested(_remove) if digest else _remove
 
     anchors = placed.groupBy("chunk").applyInArrow(_send_anchors, "chunk int, h long")
     shared = anchors.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1").select("chunk", "h")
-    windows = placed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_windows, "chunk int, h long, x int, least long")
-    earlier = windows.withColumn("first", F.min("least").over(Window.partitionBy("h", "x"))).filter("first < least").select("chunk", "h", "x")
+    windows = placed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_windows, "h long, x int, least long")
+    earlier = windows.withColumn("first", F.min("least").over(Window.partitionBy("h", "x"))).filter("first < least")
+    earlier = with_chunk(earlier, chunks, "least").select("chunk", "h", "x")  # the sender's: it holds that id
     out = placed.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(finish, schema)
 
     alone = columns.filter("doc_id IS NULL").withColumn("w", F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
