@@ -11,6 +11,9 @@ Equal fingerprints are one row before keys are made, so groups of copies cost on
 outgrow MOST is compared block by block in a second pass; nothing is dropped.  Of the verified links a task keeps a
 spanning forest; connected components then follow from alternating star contractions, without a driver loop over rows.
 
+To drop near duplicates, documents have several fingerprints of their word sets instead (see similar_nodes): 64 bits of
+one shingle fingerprint within 4 bits hold only copies that are nearly exact.
+
 Null or empty text: fingerprint zero, which links like any other.  A null id takes part, but names no component while
 the component has another id.  Repeated rows link to each other and keep their rows.
 """
@@ -25,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
-from .common import cut, documents
+from .common import cut, documents, hashed_words, mix
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
+#: Fingerprints of a text's word set by which near duplicates are dropped.
+PRINTS = 4
 #: Fingerprints under one key that one task compares at once; more go block by block.
 MOST = 2048
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -264,13 +269,56 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(by_print, "print").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents with the least id of each component, one row each; rows without an id stay unless they link to one that has."""
-    groups = near_groups(docs, id_col, text_col, size, max_bits)
-    kept = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    nameless = docs.filter(F.col(id_col).isNull())
-    return named.union(nameless)
+def word_set_prints(text: str | None, count: int) -> list[int]:
+    """``count`` independent SimHash fingerprints of the set of a text's lower-cased words; zeros without a word."""
+    words, _ = hashed_words(pa.array([(text or "").lower()]))
+    if not len(words):
+        return [0] * count
+    words, out = np.unique(words), []
+    for k in range(1, count + 1):
+        hashes = mix(words ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
+        ones = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.uint32)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(words), bitorder="little").tobytes(), "little"))
+    return out
+
+
+def _prints_of(count: int):
+    @arrow_udf(ArrayType(LongType()))
+    def run(text: pa.Array) -> pa.Array:
+        flat = np.array([word_set_prints(t.as_py(), count) for t in text], np.uint64).reshape(-1).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, count, dtype=np.int32)), pa.array(flat))
+
+    return run
+
+
+def similar_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = PRINTS, max_bits: int = MAX_BITS) -> DataFrame:
+    """(node, label): the least id of each set of equal fingerprints, and the least id of its component.
+
+    Two texts link if any of their ``count`` fingerprints differ in max_bits or fewer.  A copy at 0.8 or more of its
+    five-word shingles has changed one word in forty at most, so its word set differs by a twentieth and some
+    fingerprint of four stays within 4 bits; texts that only share common words are tens of bits apart.
+    """
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _prints_of(count)(F.col(text_col)).alias("prints"))
+    nodes = cut(rows.groupBy("prints").agg(F.min("id").alias("node")))
+    edges = None
+    for k in range(count):
+        own = nodes.select("node", F.get("prints", F.lit(k)).alias("print"))
+        least = cut(own.groupBy("print").agg(F.min("node").alias("least")))
+        met = links(least.select("print"), max_bits)
+        left, right = (least.select(F.col("print").alias(c), F.col("least").alias(f"n{c}")) for c in "ab")
+        part = own.join(least, "print").filter("node <> least").select("node", "least").union(met.join(left, "a").join(right, "b").select("na", "nb"))
+        edges = part if edges is None else edges.union(part)
+    labels = components(edges.toDF("a", "b"))
+    return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = PRINTS, max_bits: int = MAX_BITS) -> DataFrame:
+    """Of each group of near duplicates the document with the least id; repeated rows of it count once.  Rows without an
+    id have no part in it and stay; rows of equal id are one document."""
+    kept = similar_nodes(docs, id_col, text_col, count, max_bits).filter("node = label").select(F.col("node").alias(id_col))
+    keyed = docs.filter(F.col(id_col).isNotNull()).withColumn("key__", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    named = keyed.join(kept, id_col, "left_semi").dropDuplicates([id_col, "key__"]).drop("key__")
+    return named.select(*docs.columns).union(docs.filter(F.col(id_col).isNull()))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from millrace.llm.common import documents, table
 
 from .edge import SF, edge_docs, empty_docs
 from .test_decontaminate import normal
-from .test_simhash import plain_components, plain_print
+from .test_simhash import plain_dedup
 
 pytestmark = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no model file")
 
@@ -21,8 +21,7 @@ def test_stages_against_plain_python(spark):
     verdicts = {r["doc_id"]: r["kept"] for r in quality.judge(documents(spark, SF)).collect()}
     left = sorted(i for i in rows if verdicts[i])
     assert 0 < len(left) < len(rows)
-    prints = [plain_print(rows[i]["text"], 5) for i in left]
-    left = [i for i, c in zip(left, plain_components(prints, left), strict=True) if i == c]
+    left = plain_dedup(left, {i: rows[i]["text"] for i in left})
     grams = {tuple(w[k : k + 13]) for r in table(spark, SF, "benchmark").collect() for w in [normal(r["text"])] for k in range(len(w) - 12)}
     left = [i for i in left if not any(tuple(w[k : k + 13]) in grams for w in [normal(rows[i]["text"])] for k in range(len(w) - 12))]
     library = spm.SentencePieceProcessor(model_file=pieces.MODEL)

@@ -36,6 +36,23 @@ def plain_components(prints, ids, bits=4):
     return [least.get(find(i)) for i in range(len(f))]
 
 
+def plain_dedup(ids, texts, bits=4):
+    """Ids that stay: the least of each component of texts with some word-set fingerprint within a few bits."""
+    prints = np.array([simhash.word_set_prints(texts[i], simhash.PRINTS) for i in ids], np.uint64)
+    label = list(range(len(ids)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in np.flatnonzero((np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= bits).any(1)) + i + 1:
+            a, b = sorted((find(i), find(int(j))))
+            label[b] = a
+    return [d for k, d in enumerate(ids) if find(k) == k]
+
+
 def check(docs):
     rows = docs.collect()
     prints = [plain_print(r["text"]) for r in rows]
@@ -107,6 +124,23 @@ def test_components_of_a_long_path(spark):
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
 
 
+def test_copies_go_and_others_stay(spark):
+    docs = documents(spark, SF)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == plain_dedup(sorted(rows), rows)
+    rnd = random.Random(2)
+    made = []
+    for k in range(30):
+        words = [f"t{rnd.randrange(5000)}" for _ in range(300)]
+        made.append((3 * k, " ".join(words)))
+        near = list(words)
+        for at in rnd.sample(range(300), 5):
+            near[at] = "edit" + near[at]
+        made += [(3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(f"t{rnd.randrange(5000)}" for _ in range(300)))]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert kept == {d for d, _ in made if d % 3 != 1}
+
+
 def test_one_of_each_group_stays(spark):
     docs = edge_docs(spark)
     kept = sorted([r["doc_id"] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()], key=str)
