@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, passages, perplexity, pieces, pii, quality, secrets, simhash
+from . import chat, decontaminate, language, oracles, passages, perplexity, pieces, pii, quality, secrets, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 #: The others are held against brute-force versions in tests/llm.
-ORACLES: dict[str, str] = {"op4_passages": passages.ORACLE, "op9_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op4_passages": passages.ORACLE, "op5_decontaminate": oracles.leaks(), "op8_quality": oracles.quality(), "op9_chat": chat.ORACLE}
