@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from millrace.plans import details  # noqa: F401  (registers its queries)
 from millrace.plans.registry import ORACLES, QUERIES
 
 from .compare import connect, same
