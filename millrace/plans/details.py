@@ -83,7 +83,7 @@ def placeholder_pages(files: DataFrame) -> DataFrame:
     return D.placeholder_pages(files.filter("job_id % 10 = 0"), "id", "page_count").select("id", F.col("page_no").cast("long").alias("page_no"))
 
 
-@table_query("documents", sql="SELECT doc_id, 0.0 AS seconds, 'pdf' AS file_type, (len(string_split(coalesce(text, ''), chr(10))) - 1) // 5 + 1 AS n_pages FROM documents")
+@table_query("documents", sql="SELECT doc_id, CAST(0 AS DOUBLE) AS seconds, 'pdf' AS file_type, (len(string_split(coalesce(text, ''), chr(10))) - 1) // 5 + 1 AS n_pages FROM documents")
 def extraction_metadata(documents: DataFrame) -> DataFrame:
     docs = _payload(documents).withColumn("doc", F.col("doc").withField("extractionMetadata", F.lit(None).cast("struct<extractionTimeSeconds:double,fileType:string>")))
     pages = D.page_rows(docs)
