@@ -137,3 +137,49 @@ def verification_update(files: DataFrame) -> DataFrame:
     now = files.select("id", (F.col("page_count") % 3 == 0).alias("admin_verified"), (F.col("page_count") > 3).alias("customer_verified"))
     change = files.filter("page_count % 2 = 0").select("id", F.lit(True).alias("admin_verified"), F.lit(None).cast("boolean").alias("customer_verified"))
     return M.verification_update(now, change)
+
+
+@query("job_files", sql="SELECT id, CASE WHEN page_count % 2 = 0 THEN '[1,2]' WHEN page_count % 3 = 0 THEN NULL ELSE '[7]' END AS pages FROM job_files")
+def pages_or_stored(files: DataFrame) -> DataFrame:
+    """Pages from the raw payload, else those stored, else none."""
+    raw = F.when(F.col("page_count") % 2 == 0, F.lit('{"pages":[1,2]}')).otherwise(F.lit('{"other":1}'))
+    stored = F.when(F.col("page_count") % 3 != 0, F.lit("[7]"))
+    return files.select("id", F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json(raw), F.lit("$.pages"), "variant")), stored).alias("pages"))
+
+
+@query("jobs", "job_files", sql="""
+, s AS (SELECT job_id, count(*) AS n FROM job_files GROUP BY 1), f AS (SELECT job_id, count(*) AS failed FROM job_files WHERE processing_status = 'failed' GROUP BY 1)
+SELECT s.job_id, s.n, f.failed FROM s LEFT JOIN f ON f.job_id = s.job_id""")
+def combined_results(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """Two result sets by id, the first one kept whole."""
+    counts = files.groupBy("job_id").agg(F.count("*").alias("n"))
+    failed = files.filter("processing_status = 'failed'").groupBy("job_id").agg(F.count("*").alias("failed"))
+    return counts.join(failed, "job_id", "left")
+
+
+@query("users", sql="SELECT id, email FROM users WHERE id % 4 <> 0 AND TIMESTAMP '2024-01-01' + to_days(CAST(id % 30 AS INTEGER)) > TIMESTAMP '2024-01-15'")
+def open_invitations(users: DataFrame) -> DataFrame:
+    from ..streaming.flows import active_sessions
+
+    expires = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(days=(F.col("id") % 30).cast("int"))
+    rows = users.select("id", "email", expires.alias("expires_at"), F.when(F.col("id") % 4 == 0, F.lit("2024-01-02")).alias("accepted_at"))
+    return active_sessions(rows, F.lit("2024-01-15").cast("timestamp_ntz"), accepted="accepted_at").select("id", "email")
+
+
+@query("job_files", sql="""
+SELECT CASE WHEN review_status IN ('pending', 'in_review', 'reviewed') THEN 'valid' ELSE 'unknown status' END AS verdict, count(*) AS n FROM job_files GROUP BY 1""")
+def requested_statuses(files: DataFrame) -> DataFrame:
+    """Requested values against a domain table."""
+    spark = files.sparkSession
+    domain = spark.createDataFrame([(s,) for s in ("pending", "in_review", "reviewed")], "review_status string").withColumn("ok", F.lit(True))
+    return files.join(F.broadcast(domain), "review_status", "left").groupBy(F.when(F.col("ok"), "valid").otherwise("unknown status").alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("job_files", "well_registry", sql="""
+, r AS (SELECT trim(permit_no) AS k, arg_min(api_wellno, line_no) AS api FROM well_registry GROUP BY 1), f AS (SELECT id, ltrim(nullif(regexp_replace(permit_number, '[^0-9]', '', 'g'), ''), '0') AS key FROM job_files WHERE id = (SELECT max(id) FROM job_files))
+SELECT f.id, coalesce(r.api, 'no match') AS api_number FROM f LEFT JOIN r ON r.k = f.key""")
+def single_enrichment(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """The bulk rule for one file; a miss is named."""
+    newest = files.agg(F.max("id").alias("id"))
+    one = files.join(F.broadcast(newest), "id", "left_semi").select("id", S.normal_permit(S.digits_of(F.col("permit_number"))).alias("key"))
+    return X.merge(one, X.decode_registry(X.first_per_key(registry, "permit_no", "line_no")), "key").select("id", F.coalesce("api_number", F.lit("no match")).alias("api_number"))
