@@ -232,7 +232,10 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     pairs = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     pairs = pairs.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "print")
     slow = pairs.groupBy("key", "p", "q").applyInArrow(_block_links(max_bits), "a long, b long")
-    return found.filter("kind = 0").select("a", "b").union(slow).distinct()
+    # Under every key a node hangs on some root, and it has 108 keys at most.  Its roots hang on the least of them, which
+    # the nodes of a large group share, so that group has about one link a node.
+    roots = found.filter("kind = 0").select("a", "b").union(slow).groupBy("a").agg(F.collect_set("b").alias("roots")).withColumn("b", F.array_min("roots"))
+    return roots.select("a", "b").union(roots.select(F.explode("roots").alias("a"), "b")).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
