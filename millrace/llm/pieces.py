@@ -6,7 +6,7 @@ arcs are pieces; the encoding is its shortest path under (min, +).  For a BPE mo
 more acceptor, which lets one piece follow another only if merging their text gives these two pieces again: what
 remains is the library's own segmentation.  For a unigram model arcs weigh minus their scores.
 
-No piece crosses from ink into a following space mark or holds a character outside the pieces' alphabet, so the
+No piece crosses from ink into a following space mark, nor between characters that never adjoin in pieces, so the
 lattice falls apart there; equal parts share one path, kept in a bounded memo per worker.
 
 Null text: null ids.  Empty text: no ids.  Decoding gives the normalised text again; with an identity normaliser
@@ -124,9 +124,7 @@ class Encoder:
         self.model, self.memo, self.follows, self.heads = model, {}, {}, {}
         self.unknown_cost = 10.0 - min(model.scores, default=0.0)
         self.splits = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in model.ids)
-        letters = sorted(set("".join(model.ids)) - {SPACE})
-        ink = "".join(map(re.escape, letters)) or "\0"
-        self.part = re.compile(f"{SPACE}+[{ink}]*|[{ink}]+|[^{SPACE}{ink}]")
+        self.part = self._parts()
         self.trie: dict = {}
         for piece, k in model.ids.items():
             node = self.trie
@@ -134,6 +132,31 @@ class Encoder:
                 node = node.setdefault(c, {})
             node[""] = k
 
+    def _parts(self) -> re.Pattern:
+        """Splits a line where no piece crosses: space marks lead a run of characters that adjoin, directly or through
+        others, inside pieces (letters of a script, say, but not a letter and a comma)."""
+        group: dict[str, str] = {c: c for p in self.model.ids for c in p if c != SPACE}
+
+        def root(c: str) -> str:
+            while group[c] != c:
+                group[c] = c = group[group[c]]
+            return c
+
+        joins = set()
+        for piece in self.model.ids:
+            for a, b in zip(piece, piece[1:], strict=False):
+                if SPACE not in (a, b):
+                    joins |= {a, b}
+                    group[root(a)] = root(b)
+        runs: dict[str, list[str]] = {}
+        for c in sorted(joins):
+            runs.setdefault(root(c), []).append(c)
+        escape = lambda chars: "[" + "".join(map(re.escape, chars)) + "]"
+        kinds = [escape(r) + "+" for r in sorted(runs.values(), key=len, reverse=True)]
+        if alone := sorted(set(group) - joins):
+            kinds.append(escape(alone))
+        return re.compile(f"{SPACE}*(?:{'|'.join(kinds)})|{SPACE}+|[^{SPACE}]" if kinds else f"{SPACE}+|[^{SPACE}]")
+
     def _merged(self, text: str) -> list[str]:
         """The text's pieces after all merges, best score first and leftmost among equals."""
         parts, ids, scores = list(text), self.model.ids, self.model.scores
