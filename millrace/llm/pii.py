@@ -3,7 +3,8 @@
 Base spans come from four plain patterns over the text as it is.  Then a chain of rewriting transducers
 normalises look-alike letters, invisible characters, at/dot disguises and spelled digits; each keeps, for every
 output character, the source range that it came from.  The same detectors read the normalised text and what they
-find there is mapped back to source characters.
+find there is mapped back to source characters.  Base spans stay; a mapped span is added unless a span of its kind
+contains it, so an identifier that is disguised in part has its plain part as base span and its whole beside it.
 
 A null or empty text has no spans.  Repeated rows are judged alike.  Input columns other than the text are not read.
 """
@@ -196,7 +197,7 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
         have = [(k, s, e) for k, s, e, _ in found]
         for kind, s, e in detect(tape.text):
             start, end = tape.source(s, e)
-            if not any(k == kind and start < b and a < end for k, a, b in have):
+            if not any(k == kind and a <= start and end <= b for k, a, b in have):
                 have.append((kind, start, end))
                 found.append((kind, start, end, False))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
@@ -210,7 +211,8 @@ def pii_spans(text: pa.Array) -> pa.Array:
 
 @arrow_udf(StringType())
 def redact_pii(text: pa.Array) -> pa.Array:
-    """The text with each span replaced by its kind in angle brackets; overlapping spans become one.  Null stays null."""
+    """The text with each span replaced by its kind in angle brackets; overlapping spans become one, with the first
+    one's kind.  Null stays null."""
     return pa.array([redact(t.as_py()) for t in text], pa.string())
 
 

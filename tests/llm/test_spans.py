@@ -59,6 +59,21 @@ def test_disguises(text, kind, span):
     assert [(k, text[s:e]) for k, s, e, base in pii.find(text) if not base] == [(kind, span)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "base", "whole"),
+    [
+        ("to p\u0430ul@example.com now", "email", "ul@example.com", "p\u0430ul@example.com"),
+        ("to pa\u200bul@example.com now", "email", "ul@example.com", "pa\u200bul@example.com"),
+        ("to bob@mail.ex\u0430mple.com now", "email", "bob@mail.ex", "bob@mail.ex\u0430mple.com"),
+        ("call +1 555 123 45\uff16\uff17 now", "phone", "+1 555 123 45", "+1 555 123 45\uff16\uff17"),
+    ],
+)
+def test_partly_disguised_identifiers_go_whole(text, kind, base, whole):
+    found = [(k, text[s:e], b) for k, s, e, b in pii.find(text)]
+    assert sorted(found) == sorted([(kind, base, True), (kind, whole, False)])
+    assert pii.redact(text) == text.replace(whole, f"<{kind.upper()}>")
+
+
 @pytest.mark.parametrize("text", ["look at example.com today", "we met at noon, point taken, one two three go", "die zwei und drei", "le point de vue", "nine of ten"])
 def test_plain_prose_has_no_spans(text):
     assert pii.find(text) == []
