@@ -12,7 +12,9 @@ outgrow MOST is compared block by block in a second pass; nothing is dropped.  O
 spanning forest; connected components then follow from alternating star contractions, without a driver loop over rows.
 
 To drop near duplicates, documents have several fingerprints of their word sets instead (see similar_nodes): 64 bits of
-one shingle fingerprint within 4 bits hold only copies that are nearly exact.
+one shingle fingerprint within 4 bits hold only copies that are nearly exact.  These miss passages that are added, cut
+or replaced in one block, so texts also meet under bands of least shingle hashes, and those meetings are verified by
+the shingles themselves (see shingle_links).
 
 Null or empty text: fingerprint zero, which links like any other.  A null id takes part, but names no component while
 the component has another id.  Repeated rows link to each other and keep their rows.
@@ -20,6 +22,7 @@ the component has another id.  Repeated rows link to each other and keep their r
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -28,13 +31,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BooleanType, LongType
 
-from .common import cut, documents, hashed_words, mix
+from .common import cut, documents, hashed_words, mix, window_hashes
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Fingerprints of a text's word set by which near duplicates are dropped.
 PRINTS = 4
+#: Words of a shingle, and the share of common shingles from which two texts are near duplicates.
+NEAR_SHINGLE, NEAR = 5, 0.8
+#: Bands of so many least hashes each: at NEAR, two texts share a band with 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
+BANDS, BAND_ROWS = 16, 4
+#: Nodes that are broadcast to pick the texts that meet; more are joined by a shuffle.
+MAX_BROADCAST = 200_000
+_RNG = np.random.Generator(np.random.PCG64(0xBA4D))
+_FLIP = _RNG.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64)
+_ODD = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Fingerprints under one key that one task compares at once; more go block by block.
 MOST = 2048
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -274,7 +286,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def word_set_prints(text: str | None, count: int) -> list[int]:
     """``count`` independent SimHash fingerprints of the set of a text's lower-cased words; zeros without a word."""
-    words, _ = hashed_words(pa.array([(text or "").lower()]))
+    return _set_prints(_words(text), count)
+
+
+def _words(text: str | None) -> np.ndarray:
+    return hashed_words(pa.array([(text or "").lower()]))[0]
+
+
+def _set_prints(words: np.ndarray, count: int) -> list[int]:
     if not len(words):
         return [0] * count
     words, out = np.unique(words), []
@@ -285,32 +304,103 @@ def word_set_prints(text: str | None, count: int) -> list[int]:
     return out
 
 
-def _prints_of(count: int):
+def _shingle_set(words: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the different shingles; fewer words than a shingle has are one shingle."""
+    if 0 < len(words) < NEAR_SHINGLE:
+        return window_hashes(words, len(words), 1)
+    return np.unique(window_hashes(words, NEAR_SHINGLE))
+
+
+def _band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band from the least hashes of a set of shingles."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        np.minimum(least, ((shingles[at : at + 2048, None] ^ _FLIP) * _ODD).min(0), out=least)
+    return mix((mix(least) * _ODD).reshape(BANDS, BAND_ROWS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+def _signatures(count: int):
+    """``count`` word-set fingerprints, two sums that stand for the set of shingles, and its band keys."""
+
+    def one(text: str | None) -> np.ndarray:
+        words = _words(text)
+        shingles = _shingle_set(words)
+        sums = [shingles.sum(dtype=np.uint64), mix(shingles ^ _FLIP[0]).sum(dtype=np.uint64)]
+        return np.concatenate([np.array(_set_prints(words, count), np.uint64), np.array(sums, np.uint64), _band_keys(shingles)])
+
     @arrow_udf(ArrayType(LongType()))
     def run(text: pa.Array) -> pa.Array:
-        flat = np.array([word_set_prints(t.as_py(), count) for t in text], np.uint64).reshape(-1).view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, count, dtype=np.int32)), pa.array(flat))
+        size = count + 2 + BANDS
+        flat = np.array([one(t.as_py()) for t in text], np.uint64).reshape(-1).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size, dtype=np.int32)), pa.array(flat))
 
     return run
 
 
+@lru_cache(64)
+def _shingles_of(text: str) -> np.ndarray:
+    return _shingle_set(_words(text))
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    """Common shingles of two texts as a share of all their shingles; two texts without a word are equal."""
+    x, y = _shingles_of(a or ""), _shingles_of(b or "")
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / max(1, len(x) + len(y) - common) if len(x) or len(y) else 1.0
+
+
+@arrow_udf(BooleanType())
+def _near(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([similarity(x.as_py(), y.as_py()) >= NEAR for x, y in zip(a, b, strict=True)], pa.bool_())
+
+
+def shingle_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Verified links (a, b) that connect the nodes which share a band and NEAR of their shingles or more.
+
+    texts: (node, text_key, text); nodes: (node, text_key, bands), one for each set of shingles.  First each node of a
+    band is held against the band's least node.  Then, of bands whose nodes are not all connected, every pair across
+    components that was not tried yet.
+    """
+    banded = nodes.select(F.struct("node", "text_key").alias("at"), F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("at").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    tried = cut(banded.join(hubs, "band").filter("at <> hub").select("at", "hub").distinct())
+    wanted = cut(tried.select("at").union(tried.select("hub")).distinct().select("at.*"))
+    few = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    near = cut(texts.join(F.broadcast(wanted) if few else wanted, ["node", "text_key"], "left_semi").select(F.struct("node", "text_key").alias("at"), "text"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(near, "at").join(near.select(F.col("at").alias("hub"), F.col("text").alias("other")), "hub")
+        return cut(both.filter(_near("text", "other")).select(F.col("at.node").alias("a"), F.col("hub.node").alias("b")).filter("a <> b").distinct())
+
+    first = verified(tried)
+    labels = components(first).select(F.col("node"), "label")
+    placed = nodes.join(labels, "node", "left").select(F.struct("node", "text_key").alias("at"), F.coalesce("label", "node").alias("label"), F.explode("bands").alias("band"))
+    mixed = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("p"), F.max("label").alias("q")).filter("n > 2 AND p <> q").select("band")
+    rest = cut(placed.join(mixed, "band", "left_semi"))
+    other = rest.select("band", F.col("at").alias("hub"), F.col("label").alias("other_label"))
+    late = rest.join(other, "band").filter("label <> other_label AND at > hub").select("at", "hub").distinct().join(tried, ["at", "hub"], "left_anti")
+    return first.union(verified(late))
+
+
 def similar_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = PRINTS, max_bits: int = MAX_BITS) -> DataFrame:
-    """(node, label): the least id of each set of equal fingerprints, and the least id of its component.
+    """(node, label): the least id of each set of equal shingles, and the least id of its component.
 
-    Two texts link if any of their ``count`` fingerprints differ in max_bits or fewer.  A copy at 0.8 or more of its
-    five-word shingles has changed one word in forty at most, so its word set differs by a twentieth and some
-    fingerprint of four stays within 4 bits; texts that only share common words are tens of bits apart.
+    Two texts link if any of their ``count`` word-set fingerprints differ in max_bits or fewer, or if they share NEAR of
+    their five-word shingles or more.  The fingerprints also link texts below NEAR; texts that only share common words are
+    tens of bits apart.
     """
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _prints_of(count)(F.col(text_col)).alias("prints"))
-    nodes = cut(rows.groupBy("prints").agg(F.min("id").alias("node")))
-    edges = None
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("node"), key.alias("text_key"), F.col(text_col).alias("text"))
+    firsts = named.select(F.struct("node", "text_key").alias("at"), _signatures(count)("text").alias("sig")).groupBy("sig").agg(F.min("at").alias("at"))
+    nodes = cut(firsts.select("at.*", F.slice("sig", 1, count).alias("prints"), F.slice("sig", count + 3, BANDS).alias("bands")))
+    edges = shingle_links(named, nodes)
     for k in range(count):
         own = nodes.select("node", F.get("prints", F.lit(k)).alias("print"))
         least = cut(own.groupBy("print").agg(F.min("node").alias("least")))
         met = links(least.select("print"), max_bits)
         left, right = (least.select(F.col("print").alias(c), F.col("least").alias(f"n{c}")) for c in "ab")
         part = own.join(least, "print").filter("node <> least").select("node", "least").union(met.join(left, "a").join(right, "b").select("na", "nb"))
-        edges = part if edges is None else edges.union(part)
+        edges = edges.union(part)
     labels = components(edges.toDF("a", "b"))
     return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 

@@ -145,3 +145,61 @@ def test_one_of_each_group_stays(spark):
     docs = edge_docs(spark)
     kept = sorted([r["doc_id"] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()], key=str)
     assert kept.count(1) == 1 and 5 not in kept and 3 not in kept and kept.count(2) == 1
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def edited(n=24):
+    """(kind, text): each text, then copies with words added, cut, replaced in a block, moved, or replaced all over."""
+    rnd, out = random.Random(8), []
+
+    def words(k):
+        return [f"t{rnd.randrange(20000)}" for _ in range(k)]
+
+    for k in range(n):
+        size = (300, 1000)[k % 2]
+        base, part, at = words(size), size * 9 // 100, rnd.randrange(size // 2)
+        out += [("base", base), ("added", base + words(2 * part)), ("cut", base[2 * part :]), ("block", base[:at] + words(part) + base[at + part :])]
+        base = words(size)
+        parts = [base[i : i + 10] for i in range(0, size, 10)]
+        out += [("base", base), ("moved", sum(rnd.sample(parts, len(parts)), []))]
+        base = words(size)
+        out += [("base", base), ("far", base + words(size))]
+    return [(kind, " ".join(w)) for kind, w in out]
+
+
+def test_added_cut_and_replaced_passages_go(spark):
+    made = edited()
+    near = {k for k, (kind, _) in enumerate(made) if kind in ("added", "cut", "block")}
+    last = 0
+    for k, (kind, text) in enumerate(made):
+        last = k if kind == "base" else last
+        if k in near:
+            x, y = shingles(text), shingles(made[last][1])
+            assert len(x & y) >= 0.8 * len(x | y)
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(made)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    assert not kept & near
+    assert {k for k, (kind, _) in enumerate(made) if kind in ("base", "far")} <= kept
+
+
+def test_shingle_links_against_every_pair(spark):
+    rnd = random.Random(4)
+    texts = [t for _, t in edited(8)]
+    chain = [f"c{k}" for k in range(400)]
+    for _ in range(12):
+        chain = chain[18:] + [f"c{rnd.randrange(10**6)}" for _ in range(18)]
+        texts.append(" ".join(chain))
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if y == b else y for y in label]
+    named = spark.createDataFrame(list(enumerate(texts)), "node long, text string").withColumn("text_key", simhash.F.xxhash64("text"))
+    nodes = named.select("node", "text_key", simhash.F.slice(simhash._signatures(4)("text"), 7, simhash.BANDS).alias("bands"))
+    got = {r["node"]: r["label"] for r in simhash.components(simhash.shingle_links(named, nodes)).collect()}
+    assert [got.get(k, k) for k in range(len(texts))] == label
