@@ -1,23 +1,27 @@
 """Operator 2: SentencePiece encoding and decoding as shortest paths.
 
-The model file is compiled into three transducers: the normaliser (prefix, white space, character map), the pieces
-and the byte fallback.  Composed with an input they give a lattice whose nodes are character positions and whose
-arcs are pieces; the encoding is its shortest path under (min, +).  For a BPE model the lattice is composed with one
-more acceptor, which lets one piece follow another only if merging their text gives these two pieces again: what
-remains is the library's own segmentation.  For a unigram model arcs weigh minus their scores.
+The model file is compiled into transducers: the normaliser (the model's own character map, prefix, white space), the
+pieces and the byte fallback.  Composed with an input they give a lattice whose arcs are pieces; the encoding is its
+shortest path under (min, +).  For a BPE model the lattice is composed with one more acceptor over pairs of pieces, so
+its states are (place, last piece): a pair weighs nothing if merging its text gives these two pieces again, and is
+no arc otherwise.  What that acceptor lets pass from end to end is the library's own segmentation.  Should nothing pass
+(a model whose pieces do not follow from merges), a bad pair weighs BAD instead, so the path with fewest of them wins.
+For a unigram model arcs weigh minus their scores.
 
 No piece crosses from ink into a following space mark, nor between characters that never adjoin in pieces, so the
-lattice falls apart there; equal parts share one path, kept in a bounded memo per worker.
+lattice falls apart there; equal parts share one path, kept in a memo of bounded size per worker.  A part without such
+a place is walked from left to right; only living paths are held, which share what they have in common.
 
 Null text: null ids.  Empty text: no ids.  Decoding gives the normalised text again; with an identity normaliser
-that is the text itself, whatever characters it has.
+that is the text itself, whatever characters it has.  Repeated rows are encoded alike, an empty table gives an empty
+one, and ties go to the path found first, from left to right with short pieces first.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
-import unicodedata
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,9 +35,14 @@ from .common import documents
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Distinct parts whose path a worker remembers.
-MEMO = 700_000
+#: Parts that each of the two generations of a worker's memo holds, and pairs in the memo of pairs.
+MEMO, PAIRS = 200_000, 400_000
+#: Longest part that is remembered.
+SHORT = 64
+#: Weight of a pair that merging would not leave, where no path does without.
+BAD = 1e6
 _INF = float("inf")
+_NONE: dict = {}
 
 
 def _fields(data: bytes):
@@ -65,6 +74,45 @@ def _fields(data: bytes):
             at += n
 
 
+class CharMap:
+    """The normaliser that a model carries: a double-array trie over UTF-8 bytes, and the replacements that it points to."""
+
+    def __init__(self, data: bytes):
+        size = int.from_bytes(data[:4], "little")
+        self.units, self.new = np.frombuffer(data[4 : 4 + size], "<u4").tolist(), data[4 + size :]
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 0x200) >> 6)
+
+    def _longest(self, data: bytes, at: int) -> tuple[int, int] | None:
+        """(end of the longest key from a place on, place of its replacement)."""
+        units, found = self.units, None
+        node = self._offset(units[0])
+        for k in range(at, len(data)):
+            node ^= data[k]
+            if node >= len(units) or units[node] & 0x800000FF != data[k]:
+                break
+            unit = units[node]
+            node ^= self._offset(unit)
+            if unit >> 8 & 1:
+                found = k + 1, units[node] & 0x7FFFFFFF
+        return found
+
+    def apply(self, text: str) -> str:
+        """The text with the longest key at each place replaced; other characters stay."""
+        data, out, at = text.encode("utf-8", "replace"), [], 0
+        while at < len(data):
+            if got := self._longest(data, at):
+                at, new = got
+                out.append(self.new[new : self.new.index(b"\0", new)])
+            else:
+                width = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+                out.append(data[at : at + width])
+                at += width
+        return b"".join(out).decode("utf-8", "replace")
+
+
 @dataclass
 class Model:
     """A compiled model: piece tables and normaliser settings."""
@@ -76,6 +124,7 @@ class Model:
     normaliser: str
     dummy_prefix: bool
     squeeze: bool
+    charmap: CharMap | None = None
     ids: dict[str, int] = field(default_factory=dict)
     bytes_: list[int] = field(default_factory=list)
     unknown: int = 0
@@ -94,11 +143,11 @@ class Model:
                 kind = dict(_fields(value)).get(3, 1)
             elif n == 3:
                 norm = dict(_fields(value))
-        name = norm.get(1, b"").decode()
-        if name not in ("identity", "nfkc", "nmt_nfkc", "nfkc_cf", "nmt_nfkc_cf", ""):
-            raise ValueError(f"normaliser {name!r} is not supported")
-        m = cls(pieces, scores, kinds, kind == 2, name, bool(norm.get(3, 1)), bool(norm.get(4, 1)))
-        m.ids = {p: i for i, p in enumerate(pieces) if kinds[i] in (NORMAL, USER)}
+        if USER in kinds:
+            raise ValueError("models with user-defined pieces are not supported")
+        charmap = CharMap(norm[2]) if norm.get(2) else None
+        m = cls(pieces, scores, kinds, kind == 2, norm.get(1, b"").decode(), bool(norm.get(3, 1)), bool(norm.get(4, 1)), charmap)
+        m.ids = {p: i for i, p in enumerate(pieces) if kinds[i] == NORMAL}
         by_byte = {int(p[3:5], 16): i for i, p in enumerate(pieces) if kinds[i] == BYTE}
         m.bytes_ = [by_byte[b] for b in range(256)] if len(by_byte) == 256 else []
         m.unknown = kinds.index(UNKNOWN) if UNKNOWN in kinds else 0
@@ -107,9 +156,8 @@ class Model:
 
     def normalise(self, text: str) -> str:
         """The text as the lattice reads it, with white space as space marks."""
-        if self.normaliser.endswith(("nfkc", "nfkc_cf")):
-            text = unicodedata.normalize("NFKC", text)
-            text = text.casefold() if self.normaliser.endswith("_cf") else text
+        if self.charmap:
+            text = self.charmap.apply(text)
         if self.squeeze:
             text = re.sub(r"\x20+", " ", text).strip(" ")
         if not text:
@@ -117,20 +165,40 @@ class Model:
         return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
 
 
+class Memo:
+    """A mapping that keeps the recently used: two generations, the older of which goes when the younger is full."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Encoder:
-    """Shortest paths through the lattices of a model."""
+    """Shortest paths through the lattices of a model.  A symbol is a piece's id or, for a character without a piece,
+    minus its code point minus one."""
 
     def __init__(self, model: Model):
-        self.model, self.memo, self.follows, self.heads = model, {}, {}, {}
+        self.model, self.memo, self.follows, self.n_pairs, self.heads = model, Memo(MEMO), {}, 0, {}
         self.unknown_cost = 10.0 - min(model.scores, default=0.0)
         self.splits = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in model.ids)
         self.part = self._parts()
-        self.trie: dict = {}
+        # A node: its children by character and its piece's id; below zero: minus one minus an id not tried yet.
+        self.trie: list = [{}, None]
         for piece, k in model.ids.items():
             node = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = k
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = -1 - k
 
     def _parts(self) -> re.Pattern:
         """Splits a line where no piece crosses: space marks lead a run of characters that adjoin, directly or through
@@ -174,12 +242,12 @@ class Encoder:
     def _edges(self, piece: str) -> tuple[list, list] | None:
         """The parts that stand at the right and at the left end of a piece while it is merged, each with the rank of the
         merge that ends it; None for a piece that merging its own characters never gives."""
-        got = self.heads.get(piece, 0)
+        if len(piece) == 1:
+            return [(piece, _INF)], [(piece, _INF)]
+        got = self.heads.get(piece, 0)  # as many entries as the model has pieces, at most
         if got != 0:
             return got
-        if len(piece) == 1:
-            got = [(piece, _INF)], [(piece, _INF)]
-        elif self._merged(piece) != [piece]:
+        if self._merged(piece) != [piece]:
             got = None
         else:
             at = self._last_merge(piece)
@@ -196,85 +264,121 @@ class Encoder:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return len(parts[0])
 
-    def _may_follow(self, a: str, b: str) -> bool:
-        """Whether merging the text of two pieces gives these two: no part at a's right end may merge with one at b's
+    def _text(self, symbol: int) -> str:
+        return self.model.pieces[symbol] if symbol >= 0 else chr(-1 - symbol)
+
+    def _may_follow(self, a: int, b: int) -> bool:
+        """Whether merging the text of two symbols gives these two: no part at a's right end may merge with one at b's
         left end before its own piece takes it in (left merges first among equals)."""
-        got = self.follows.get((a, b))
-        if got is None:
-            if len(self.follows) > 1_000_000:
-                self.follows.clear()
-            left, right = self._edges(a) if a else ([], []), self._edges(b)
-            if left is None or right is None:
-                got = False
-            else:
-                get, scores = self.model.ids.get, self.model.scores
-                got = not any((k := get(s + t)) is not None and -scores[k] < ends and -scores[k] <= before for s, ends in left[0] for t, before in right[1])
-            self.follows[a, b] = got
+        left, right = self._edges(self._text(a)), self._edges(self._text(b))
+        if left is None or right is None:
+            return False
+        get, scores = self.model.ids.get, self.model.scores
+        return not any((k := get(s + t)) is not None and -scores[k] < ends and -scores[k] <= before for s, ends in left[0] for t, before in right[1])
+
+    def _pair(self, a: int, b: int) -> bool:
+        """The same, and remembered; after PAIRS pairs the memo starts anew."""
+        if self.n_pairs >= PAIRS:
+            self.follows, self.n_pairs = {}, 0
+        self.n_pairs += 1
+        self.follows.setdefault(a, {})[b] = got = self._may_follow(a, b)
         return got
 
-    def _path(self, text: str) -> list[str]:
-        """Pieces on the shortest path; a character without a piece is an arc of its own."""
-        model, n, begun = self.model, len(text), self.trie
-        bpe, scores, may_follow = model.bpe, model.scores, self._may_follow
-        cost, back = [0.0] + [_INF] * n, [0] * (n + 1)
-        ends: list[str] = [""] * (n + 1)
+    def _checked(self, node: list, piece: str) -> int | None:
+        """The id at a node whose piece was not tried yet; a piece that merging never gives is taken out of a BPE model."""
+        node[1] = None if self.model.bpe and self._edges(piece) is None else -1 - node[1]
+        return node[1]
+
+    def _path(self, text: str, bad: float = _INF) -> list[int]:
+        """Symbols on the shortest path through the states (place, last symbol).
+
+        A state is (cost, symbol, state before), so the states that no living path has come through are freed as the walk
+        goes on.  bad: weight of a pair that may not be.
+        """
+        bpe, scores, trie, n = self.model.bpe, self.model.scores, self.trie[0], len(text)
+        states: list[list[tuple] | None] = [None] * (n + 1)
+        states[0] = [(0.0, None, None)]
         for j in range(n):
-            so_far = cost[j]
-            if so_far == _INF:
+            here = states[j]
+            if here is None:
                 continue
-            node, i = begun, j
-            while i < n:
-                node = node.get(text[i])
-                i += 1
-                if node is None and i > j + 1:
+            states[j] = None
+            c, end, weight = text[j], j, 1.0
+            node = trie.get(c)
+            while True:
+                end += 1
+                symbol = None if node is None else node[1]
+                if symbol is None:
+                    if end == j + 1:
+                        symbol, weight = -1 - ord(c), self.unknown_cost
+                elif symbol < 0:
+                    symbol = self._checked(node, text[j:end])
+                if symbol is not None:
+                    best = None
+                    if not bpe:
+                        weight = -scores[symbol] if symbol >= 0 else weight
+                    for state in here:
+                        cost, last = state[0] + weight, state[1]
+                        if bpe and last is not None:
+                            fits = self.follows.get(last, _NONE).get(symbol)
+                            if fits is None:
+                                fits = self._pair(last, symbol)
+                            if not fits:
+                                if bad == _INF:
+                                    continue
+                                cost += bad
+                        if best is None or cost < best[0]:
+                            best = (cost, symbol, state)
+                    if best is not None:
+                        there = states[end]
+                        if there is None:
+                            states[end] = [best]
+                        elif bpe:  # another last symbol: a state of its own
+                            there.append(best)
+                        elif best[0] < there[0][0]:
+                            there[0] = best
+                if node is None or end == n:
                     break
-                k = None if node is None else node.get("")
-                if k is not None or i == j + 1:
-                    # Of the pieces that end at a place, the pair test lets one pass: merging is deterministic.
-                    weight = 1.0 if bpe else self.unknown_cost if k is None else -scores[k]
-                    if so_far + weight < cost[i] and (not bpe or cost[i] == _INF and may_follow(ends[j], text[j:i])):
-                        cost[i], back[i], ends[i] = so_far + weight, j, text[j:i]
+                node = node[0].get(text[end])
                 if node is None:
                     break
-        if cost[n] == _INF:
-            return self._merged(text)
-        path, i = [], n
-        while i:
-            path.append(ends[i])
-            i = back[i]
+        if states[n] is None:
+            return self._path(text, BAD)
+        state, path = min(states[n], key=lambda x: x[0]), []
+        while state[2] is not None:
+            path.append(state[1])
+            state = state[2]
         return path[::-1]
 
-    def _part(self, text: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for piece in self._path(text):
-            k = self.model.ids.get(piece)
-            if k is not None:
-                out.append(k)
+    def _part(self, text: str) -> bytes:
+        """The ids of a part as bytes of 32-bit integers."""
+        out, unknown = array("i"), False
+        for symbol in self._path(text):
+            if symbol >= 0:
+                out.append(symbol)
             elif self.model.bytes_:
-                out += [self.model.bytes_[b] for b in piece.encode("utf-8", "replace")]
-            else:
+                out.extend(self.model.bytes_[b] for b in chr(-1 - symbol).encode("utf-8", "replace"))
+            elif not unknown:  # neighbours without a piece are one unknown
                 out.append(self.model.unknown)
-        return tuple(out)
+            unknown = symbol < 0
+        return out.tobytes()
+
+    def encode_bytes(self, text: str) -> bytes:
+        line, memo, out = self.model.normalise(text), self.memo, []
+        young = memo.young
+        for p in self.part.findall(line) if self.splits else [line] * bool(line):
+            got = young.get(p)
+            if got is None:
+                if (got := memo.get(p)) is None:
+                    got = self._part(p)
+                    if len(p) <= SHORT:
+                        memo.put(p, got)
+                young = memo.young
+            out.append(got)
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        line = self.model.normalise(text)
-        parts = self.part.findall(line) if self.splits else [line] * bool(line)
-        memo = self.memo
-        try:
-            return list(itertools.chain.from_iterable([memo[p] for p in parts]))
-        except KeyError:
-            pass
-        if len(memo) > MEMO:
-            memo.clear()
-        out: list[int] = []
-        for p in parts:
-            got = memo.get(p)
-            if got is None:
-                got = self._part(p)
-                if len(p) <= 64:
-                    memo[p] = got
-            out += got
-        return out
+        return array("i", self.encode_bytes(text)).tolist()
 
 
 class Decoder:
@@ -306,11 +410,12 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def _lists(rows: list) -> pa.Array:
+def _lists(rows: list[bytes | None]) -> pa.Array:
+    """Lists of integers from their bytes."""
     offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([0 if r is None else len(r) for r in rows], out=offsets[1:])
-    flat = np.fromiter(itertools.chain.from_iterable(r for r in rows if r is not None), np.int32, offsets[-1])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([r is None for r in rows]) if any(r is None for r in rows) else None)
+    np.cumsum([0 if r is None else len(r) // 4 for r in rows], out=offsets[1:])
+    flat = np.frombuffer(b"".join(r for r in rows if r), np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([r is None for r in rows]) if None in rows else None)
 
 
 def encoder(data: bytes):
@@ -318,8 +423,8 @@ def encoder(data: bytes):
 
     @arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
-        run = compiled(data)[0].encode
-        return _lists([None if t is None else run(t) for t in text.to_pylist()])
+        run = compiled(data)[0].encode_bytes
+        return _lists([None if t is None else run(t) for t in (x.as_py() for x in text)])
 
     return encode
 
@@ -330,7 +435,7 @@ def decoder(data: bytes):
     @arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         run = compiled(data)[1].decode
-        return pa.array([None if x is None else run(x) for x in ids.to_pylist()], pa.string())
+        return pa.array([None if x is None else run(x) for x in (y.as_py() for y in ids)], pa.string())
 
     return decode
 
