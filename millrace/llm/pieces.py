@@ -4,13 +4,13 @@ The model file is compiled into transducers: the normaliser (the model's own cha
 pieces and the byte fallback.  Composed with an input they give a lattice whose arcs are pieces; the encoding is its
 shortest path under (min, +).  For a BPE model the lattice is composed with one more acceptor over pairs of pieces, so
 its states are (place, last piece): a pair weighs nothing if merging its text gives these two pieces again, and is
-no arc otherwise.  What that acceptor lets pass from end to end is the library's own segmentation.  Should nothing pass
+no arc otherwise; an arc weighs the number of longer ones from its place.  What that acceptor lets pass from end to end is the library's own segmentation.  Should nothing pass
 (a model whose pieces do not follow from merges), a bad pair weighs BAD instead, so the path with fewest of them wins.
 For a unigram model arcs weigh minus their scores.
 
 No piece crosses from ink into a following space mark, nor between characters that never adjoin in pieces, so the
 lattice falls apart there; equal parts share one path, kept in a memo of bounded size per worker.  A part without such
-a place is walked from left to right; only living paths are held, which share what they have in common.
+a place is swept from left to right; only living paths are held, which share what they have in common.
 
 Null text: null ids.  Empty text: no ids.  Decoding gives the normalised text again; with an identity normaliser
 that is the text itself, whatever characters it has.  Repeated rows are encoded alike, an empty table gives an empty
@@ -19,13 +19,15 @@ one, and ties go to the path found first, from left to right with short pieces f
 
 from __future__ import annotations
 
-import itertools
+import gc
 import re
 from array import array
 from dataclasses import dataclass, field
+from heapq import heappop, heappush, heappushpop
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -35,9 +37,12 @@ from .common import documents
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Parts that each of the two generations of a worker's memo holds, and pairs in the memo of pairs.
-MEMO, PAIRS = 200_000, 400_000
-#: Longest part that is remembered.
+#: Words that each of the two generations of a worker's memo holds, and pairs in the memo of pairs.
+MEMO, PAIRS = 300_000, 400_000
+#: Bytes of text that are encoded and ids that are decoded at a time.
+BATCH = 8 << 20
+DECODED = 20_000_000
+#: Longest part that is remembered, and searched best first.
 SHORT = 64
 #: Weight of a pair that merging would not leave, where no path does without.
 BAD = 1e6
@@ -188,7 +193,8 @@ class Encoder:
     minus its code point minus one."""
 
     def __init__(self, model: Model):
-        self.model, self.memo, self.follows, self.n_pairs, self.heads = model, Memo(MEMO), {}, 0, {}
+        self.model, self.follows, self.n_pairs, self.heads = model, {}, 0, {}
+        self.words, self.memo = Memo(MEMO), Memo(MEMO // 4)
         self.unknown_cost = 10.0 - min(model.scores, default=0.0)
         self.splits = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in model.ids)
         self.part = self._parts()
@@ -279,7 +285,9 @@ class Encoder:
     def _pair(self, a: int, b: int) -> bool:
         """The same, and remembered; after PAIRS pairs the memo starts anew."""
         if self.n_pairs >= PAIRS:
-            self.follows, self.n_pairs = {}, 0
+            for known in self.follows.values():
+                known.clear()
+            self.n_pairs = 0
         self.n_pairs += 1
         self.follows.setdefault(a, {})[b] = got = self._may_follow(a, b)
         return got
@@ -289,71 +297,117 @@ class Encoder:
         node[1] = None if self.model.bpe and self._edges(piece) is None else -1 - node[1]
         return node[1]
 
-    def _path(self, text: str, bad: float = _INF) -> list[int]:
-        """Symbols on the shortest path through the states (place, last symbol).
+    def _arcs(self, text: str, at: int) -> list[tuple[int, int]]:
+        """(end, symbol) of the lattice's arcs from a place, the shortest first."""
+        c, end, n = text[at], at + 1, len(text)
+        node, out = self.trie[0].get(c), []
+        if node is None or node[1] is None:
+            out.append((end, -1 - ord(c)))
+        while node is not None:
+            symbol = node[1]
+            if symbol is not None:
+                if symbol < 0:
+                    symbol = self._checked(node, text[at:end])
+                if symbol is not None:
+                    out.append((end, symbol))
+            if end == n:
+                break
+            node = node[0].get(text[end])
+            end += 1
+        return out
+
+    def _weight(self, symbol: int) -> float:
+        return -self.model.scores[symbol] if symbol >= 0 else self.unknown_cost
+
+    def _path(self, text: str) -> list[int]:
+        """Symbols on the shortest path through the states (place, last symbol)."""
+        end = self._search(text) if self.model.bpe and len(text) <= SHORT else self._sweep(text, _INF)
+        end, path = end or self._sweep(text, BAD), []
+        while end[2] is not None:
+            path.append(end[1])
+            end = end[2]
+        return path[::-1]
+
+    def _search(self, text: str) -> tuple | None:
+        """The end of the shortest path of a BPE model, by best first search: (cost, symbol, state before).
+
+        Only the states that cost no more than the whole path are looked at, which are few, as most pieces of a path are
+        the longest that there are.  None if no path passes the pair acceptor.
+        """
+        n, arcs, follows = len(text), self._arcs(text, 0), self.follows
+        state, seen, serial, heap = (0, None, None), set(), 0, []
+        cost, k = 0, len(arcs) - 1
+        while True:
+            if k:
+                serial += 1
+                heappush(heap, (cost + 1, -arcs[k - 1][0], serial, arcs, k - 1, state))
+            end, symbol = arcs[k]
+            last = state[1]
+            if last is None:
+                good = True
+            else:
+                known = follows.get(last)
+                good = None if known is None else known.get(symbol)
+                if good is None:
+                    good = self._pair(last, symbol)
+            if good and (end, symbol) not in seen:
+                if end == n:
+                    return cost, symbol, state
+                seen.add((end, symbol))
+                state, arcs = (cost, symbol, state), self._arcs(text, end)
+                k = len(arcs) - 1
+                serial += 1
+                item = heappushpop(heap, (cost, -arcs[k][0], serial, arcs, k, state))
+            elif heap:
+                item = heappop(heap)
+            else:
+                return None
+            cost, _, _, arcs, k, state = item
 
-        A state is (cost, symbol, state before), so the states that no living path has come through are freed as the walk
-        goes on.  bad: weight of a pair that may not be.
+    def _sweep(self, text: str, bad: float) -> tuple | None:
+        """The end of the shortest path, place by place: (cost, symbol, state before).
+
+        A state names the one before it, so those that no living path has come through are freed as the sweep goes on.
+        bad: what a pair that may not be weighs.
         """
-        bpe, scores, trie, n = self.model.bpe, self.model.scores, self.trie[0], len(text)
+        bpe, n = self.model.bpe, len(text)
         states: list[list[tuple] | None] = [None] * (n + 1)
         states[0] = [(0.0, None, None)]
         for j in range(n):
-            here = states[j]
+            here, states[j] = states[j], None
             if here is None:
                 continue
-            states[j] = None
-            c, end, weight = text[j], j, 1.0
-            node = trie.get(c)
-            while True:
-                end += 1
-                symbol = None if node is None else node[1]
-                if symbol is None:
-                    if end == j + 1:
-                        symbol, weight = -1 - ord(c), self.unknown_cost
-                elif symbol < 0:
-                    symbol = self._checked(node, text[j:end])
-                if symbol is not None:
-                    best = None
-                    if not bpe:
-                        weight = -scores[symbol] if symbol >= 0 else weight
-                    for state in here:
-                        cost, last = state[0] + weight, state[1]
-                        if bpe and last is not None:
-                            fits = self.follows.get(last, _NONE).get(symbol)
-                            if fits is None:
-                                fits = self._pair(last, symbol)
-                            if not fits:
-                                if bad == _INF:
-                                    continue
-                                cost += bad
-                        if best is None or cost < best[0]:
-                            best = (cost, symbol, state)
-                    if best is not None:
-                        there = states[end]
-                        if there is None:
-                            states[end] = [best]
-                        elif bpe:  # another last symbol: a state of its own
-                            there.append(best)
-                        elif best[0] < there[0][0]:
-                            there[0] = best
-                if node is None or end == n:
-                    break
-                node = node[0].get(text[end])
-                if node is None:
-                    break
-        if states[n] is None:
-            return self._path(text, BAD)
-        state, path = min(states[n], key=lambda x: x[0]), []
-        while state[2] is not None:
-            path.append(state[1])
-            state = state[2]
-        return path[::-1]
+            arcs = self._arcs(text, j)
+            for state in here:
+                last = state[1]
+                for k, (end, symbol) in enumerate(arcs):
+                    cost = state[0] + (len(arcs) - 1 - k if bpe else self._weight(symbol))
+                    if bpe and last is not None:
+                        good = self.follows.get(last, _NONE).get(symbol)
+                        if good is None:
+                            good = self._pair(last, symbol)
+                        cost += 0.0 if good else bad
+                    there = states[end]
+                    if cost == _INF:
+                        continue
+                    if there is None:
+                        states[end] = [(cost, symbol, state)]
+                        continue
+                    # Another last symbol is another state, but for a unigram model.
+                    same = next((i for i, old in enumerate(there) if not bpe or old[1] == symbol), None)
+                    if same is None:
+                        there.append((cost, symbol, state))
+                    elif cost < there[same][0]:
+                        there[same] = (cost, symbol, state)
+        return None if states[n] is None else min(states[n], key=lambda x: x[0])
 
     def _part(self, text: str) -> bytes:
         """The ids of a part as bytes of 32-bit integers."""
+        path = self._path(text)
+        if min(path) >= 0:
+            return array("i", path).tobytes()
         out, unknown = array("i"), False
-        for symbol in self._path(text):
+        for symbol in path:
             if symbol >= 0:
                 out.append(symbol)
             elif self.model.bytes_:
@@ -363,19 +417,72 @@ class Encoder:
             unknown = symbol < 0
         return out.tobytes()
 
+    def _remembered(self, part: str) -> bytes:
+        """The ids of a part."""
+        got = self.memo.get(part)
+        if got is None:
+            got = self._part(part)
+            if len(part) <= SHORT:
+                self.memo.put(part, got)
+        return got
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a mark and a word."""
+        got = self.words.get(word)
+        if got is None:
+            first, *rest = self.part.findall(SPACE + word)
+            got = self._part(first) if len(first) > len(word) else self._word(first[1:])
+            if rest:
+                got += b"".join(map(self._remembered, rest))
+            if len(word) <= SHORT:
+                self.words.put(word, got)
+        return got
+
     def encode_bytes(self, text: str) -> bytes:
-        line, memo, out = self.model.normalise(text), self.memo, []
-        young = memo.young
-        for p in self.part.findall(line) if self.splits else [line] * bool(line):
-            got = young.get(p)
-            if got is None:
-                if (got := memo.get(p)) is None:
-                    got = self._part(p)
-                    if len(p) <= SHORT:
-                        memo.put(p, got)
-                young = memo.young
-            out.append(got)
-        return b"".join(out)
+        line = self.model.normalise(text)
+        if not line:
+            return b""
+        if not self.splits:
+            return self._part(line)
+        if line[0] != SPACE or line[-1] == SPACE or SPACE + SPACE in line:
+            return b"".join(map(self._remembered, self.part.findall(line)))
+        return b"".join(map(self._word, line[1:].split(SPACE)))
+
+    def encode_column(self, text: pa.Array) -> pa.Array:
+        """Lists of ids of a column of texts, some BATCH bytes at a time.
+
+        Where every space mark leads a word, the words of a batch are told apart first and each is looked up once.
+        """
+        text, out, at = text.cast(pa.large_string()), [], 0
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
+        while at < len(text):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH)))
+            out.append(self._encode_batch(text.slice(at, end - at)))
+            at = end
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+
+    def _encode_batch(self, text: pa.Array) -> pa.Array:
+        model = self.model
+        plain = self.splits and model.dummy_prefix and not model.squeeze and model.charmap is None
+        odd = pc.match_substring_regex(text, f"  |^ | $|{SPACE}|^$") if plain else pa.array([True] * len(text))
+        odd = pc.fill_null(odd, True).to_numpy(zero_copy_only=False)
+        words = pc.split_pattern(text.filter(pa.array(~odd)), " ")
+        told = words.flatten().dictionary_encode()
+        found = [self._word(w) for w in told.dictionary.to_pylist()]
+        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found], dtype=np.int64)])
+        place = told.indices.to_numpy()
+        ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32))).take(told.indices).flatten()
+        upto = np.concatenate([[0], np.cumsum(np.diff(ends)[place])])[words.offsets.to_numpy() - words.offsets[0].as_py()] if len(words) else np.zeros(1, np.int64)
+        if not odd.any():
+            return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), ids)
+        rows: list[bytes | None] = [None] * len(text)
+        flat = ids.to_numpy()
+        for k, row in enumerate(np.flatnonzero(~odd)):
+            rows[row] = flat[upto[k] : upto[k + 1]].tobytes()
+        for row in np.flatnonzero(odd):
+            value = text[int(row)].as_py()
+            rows[row] = None if value is None else self.encode_bytes(value)
+        return _lists(rows)
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.encode_bytes(text)).tolist()
@@ -386,12 +493,28 @@ class Decoder:
 
     def __init__(self, model: Model):
         self.model = model
-        self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
+        raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
+        self.raw = pa.array(raw, pa.binary())
+
+    def decode_lists(self, ids: pa.Array) -> pa.Array:
+        """Texts of lists of ids; null of null."""
+        sizes = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), out=sizes[1:])
+        if len(ids) > 1 and sizes[-1] > DECODED:
+            half = len(ids) // 2
+            return pa.concat_arrays([self.decode_lists(ids.slice(0, half)), self.decode_lists(ids.slice(half))])
+        raw = self.raw.take(ids.flatten())
+        if sizes[-1] > DECODED:
+            joined = [b"".join(raw.to_pylist())]
+        else:
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), raw), b"").to_pylist()
+        texts = [x.decode("utf-8", "replace") if there else None for x, there in zip(joined, ids.is_valid().to_pylist(), strict=True)]
+        if self.model.dummy_prefix:
+            texts = [t[1:] if t and t[0] == " " else t for t in texts]
+        return pa.array(texts, pa.string())
 
     def decode(self, ids) -> str:
-        raw = self.raw
-        out = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
-        return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
+        return self.decode_lists(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 _MADE: dict[bytes, tuple[Encoder, Decoder]] = {}
@@ -402,6 +525,7 @@ def compiled(data: bytes) -> tuple[Encoder, Decoder]:
     if data not in _MADE:
         model = Model.parse(data)
         _MADE[data] = Encoder(model), Decoder(model)
+        gc.freeze()  # the tables stay: no need to walk them at every collection
     return _MADE[data]
 
 
@@ -423,8 +547,7 @@ def encoder(data: bytes):
 
     @arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
-        run = compiled(data)[0].encode_bytes
-        return _lists([None if t is None else run(t) for t in (x.as_py() for x in text)])
+        return compiled(data)[0].encode_column(text)
 
     return encode
 
@@ -434,8 +557,7 @@ def decoder(data: bytes):
 
     @arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        run = compiled(data)[1].decode
-        return pa.array([None if x is None else run(x) for x in (y.as_py() for y in ids)], pa.string())
+        return compiled(data)[1].decode_lists(ids)
 
     return decode
 

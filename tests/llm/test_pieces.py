@@ -5,6 +5,7 @@ import os
 import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,13 +78,23 @@ def test_long_parts():
         assert ids == LIBRARY.encode(text) and decoder.decode(ids) == text
 
 
+def test_columns_like_texts(monkeypatch):
+    monkeypatch.setattr(pieces, "BATCH", 60)
+    encoder, decoder = pieces.compiled(pieces.read_model())
+    texts = ["the hill", None, "", " ", "a  b", " lead", "trail ", "▁", "the old man, the sea.\n\nAnd", "x" * 100, "the hill", "\n", "é 中 \U0001f600", None]
+    for some in (texts, texts[:1], [None], ["", ""], []):
+        got = encoder.encode_column(pa.array(some, pa.string()))
+        assert got.to_pylist() == [None if t is None else LIBRARY.encode(t) for t in some]
+        assert decoder.decode_lists(got).to_pylist() == [None if t is None else t.replace("▁", " ") for t in some]
+
+
 def test_memos_are_bounded(monkeypatch):
     monkeypatch.setattr(pieces, "PAIRS", 50)
     encoder = pieces.Encoder(pieces.compiled(pieces.read_model())[0].model)
-    encoder.memo = pieces.Memo(20)
+    encoder.words, encoder.memo = pieces.Memo(20), pieces.Memo(20)
     for text in (f"{a}{b} over the {b}{a} hill" for a in ("wind", "rain", "snow", "sun") for b in ("ward", "fall", "shine", "storm", "s")):
         assert encoder.encode(text * 3) == LIBRARY.encode(text * 3)
-        assert len(encoder.memo.young) <= 20 and len(encoder.memo.old) <= 20 and sum(map(len, encoder.follows.values())) <= 50
+        assert all(len(m.young) <= 20 and len(m.old) <= 20 for m in (encoder.words, encoder.memo)) and sum(map(len, encoder.follows.values())) <= 50
 
 
 def test_a_bad_pair_is_taken_where_nothing_else_passes(monkeypatch):
