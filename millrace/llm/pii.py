@@ -6,13 +6,17 @@ output character, the source range that it came from.  The same detectors read t
 find there is mapped back to source characters.  Base spans stay; a mapped span is added unless a span of its kind
 contains it, so an identifier that is disguised in part has its plain part as base span and its whole beside it.
 
-A null or empty text has no spans.  Repeated rows are judged alike.  Input columns other than the text are not read.
+All passes are linear in the text's length, whatever it holds; texts are read whole.
+
+A null or empty text has no spans.  Repeated rows are judged alike, each by itself; an empty table gives no rows.  Spans of
+one start are put in order of kind, then end.  Input columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,7 +96,12 @@ _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 #: Rules that a disguise must match before it is rewritten; words alone count only between a name and a dotted domain.
 _BRACKET_AT = re.compile(rf"(?i){_OPEN}(?:{_AT}|@){_CLOSE}")
 _BRACKET_DOT = re.compile(rf"(?i){_OPEN}(?:{_DOT}|\.){_CLOSE}")
-_WORD_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[\x20_-]{_AT}[\x20_-](?=[A-Za-z0-9-]+(?:{_OPEN}{_DOT}{_CLOSE}|[\x20_-]{_DOT}[\x20_-])[A-Za-z])")
+#: A label's characters up to the next disguise, so that each is read once.
+_LABEL = rf"(?:(?![\x20_-](?:{_AT}|{_DOT})[\x20_-])[A-Za-z0-9-])"
+_WORD_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[\x20_-]{_AT}[\x20_-](?={_LABEL}++(?:{_OPEN}{_DOT}{_CLOSE}|[\x20_-]{_DOT}[\x20_-])[A-Za-z])")
+_WORD_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[\x20_-]{_DOT}[\x20_-](?=[A-Za-z]{{2,}}(?![A-Za-z]))")
+#: What may stand between an @ and a bare dot word: labels, dots and other dot words.
+_DOMAIN_RUN = re.compile(rf"(?i)@(?:{_LABEL}|\.)*+(?:[\x20_-]{_DOT}[\x20_-](?:{_LABEL}|\.)*+)*+")
 _AT_HINT = re.compile(rf"(?i)[\[({{<\x20_-](?:{_AT}|@)[\])}}>\x20_-]|[\[({{<]\s{{1,3}}(?:{_AT}|@)")
 #: Digits as words, in four languages.
 DIGIT_WORDS = {
@@ -166,24 +175,26 @@ TRANSDUCERS = (
     (_AT_HINT, _edits(_BRACKET_AT, "@")),
     (_AT_HINT, _edits(_WORD_AT, "@")),
     (_BRACKET_DOT, _edits(_BRACKET_DOT, ".")),
-    (re.compile("@"), _edits(re.compile(rf"(?i)(?<=[A-Za-z0-9])[\x20_-]{_DOT}[\x20_-](?=[A-Za-z]{{2,}}(?![A-Za-z]))"), ".")),
+    (re.compile("@"), lambda tape: _word_dots(tape.text)),
     (_SPELLED_HINT, _spelled),
     (_LEET, lambda tape: [(m.start(), m.end(), "0" if m[0] in "Oo" else "1") for m in _LEET.finditer(tape.text)]),
 )
 
 
-def _narrow_dots(text: str, edits):
-    """Bare dot words count only on a line part that follows an @ without other words between."""
-    return [e for e in edits if re.search(r"@[A-Za-z0-9.-]*(?:[\x20_-]" + _DOT + r"[\x20_-][A-Za-z0-9-]*)*\Z", text[max(0, e[0] - 120) : e[0]], re.I)]
+def _word_dots(text: str) -> list[tuple[int, int, str]]:
+    """Bare dot words, where they follow an @ without other words between."""
+    runs = [m.span() for m in _DOMAIN_RUN.finditer(text)]
+    starts = [s for s, _ in runs]
+    inside = lambda m: (k := bisect_right(starts, m.start()) - 1) >= 0 and m.end() <= runs[k][1]
+    return [(m.start(), m.end(), ".") for m in _WORD_DOT.finditer(text) if inside(m)]
 
 
 def normalise(text: str) -> Tape:
     """Run the transducers over a text."""
     tape = Tape(text)
-    for k, (hint, transducer) in enumerate(TRANSDUCERS):
+    for hint, transducer in TRANSDUCERS:
         if hint.search(tape.text):
-            edits = list(transducer(tape))
-            tape.rewrite(_narrow_dots(tape.text, edits) if k == 4 else edits)
+            tape.rewrite(list(transducer(tape)))
     return tape
 
 
@@ -194,11 +205,18 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
     found = [(*x, True) for x in detect(text)]
     tape = normalise(text)
     if tape.changed:
-        have = [(k, s, e) for k, s, e, _ in found]
+        # Base spans of a kind do not overlap and mapped ones move forward: only the last that starts before can contain one.
+        base: dict[str, tuple[list, list]] = {k: ([], []) for k in KINDS}
+        for kind, s, e, _ in found:
+            base[kind][0].append(s)
+            base[kind][1].append(e)
+        last = dict.fromkeys(KINDS, (0, 0))
         for kind, s, e in detect(tape.text):
             start, end = tape.source(s, e)
-            if not any(k == kind and a <= start and end <= b for k, a, b in have):
-                have.append((kind, start, end))
+            starts, ends = base[kind]
+            k = bisect_right(starts, start) - 1
+            if (k < 0 or ends[k] < end) and not (last[kind][0] <= start and end <= last[kind][1]):
+                last[kind] = start, end
                 found.append((kind, start, end, False))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -1,10 +1,12 @@
 """Operator 3: secrets, with structural confirmation.
 
 Base spans come from three plain patterns.  Besides, every base64 or hex candidate is decoded and reported only if
-the bytes parse as what they claim to be: a signed token whose header is a JSON object with an algorithm, an ASN.1
-key whose nested lengths agree, an SSH key of length-prefixed fields, or an armoured key block around one of these.
+the bytes parse as what they claim to be: a signed token whose header is a JSON object with an algorithm (or an
+encrypted one of five parts), an ASN.1 key whose lengths agree at every depth, an SSH key of length-prefixed fields, or
+an armoured key block around one of these.  Of candidates that overlap, the more structured kind is reported.
 
-A null or empty text has no spans.  Repeated rows are judged alike.
+All passes are linear in the text's length; texts are read whole.  A null or empty text has no spans.  Repeated rows
+are judged alike, each by itself; an empty table gives no rows.  Input columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +30,8 @@ KINDS = ("assign", "access", "hex", "armour", "token", "der", "sshkey")
 _ASSIGN = re.compile(r"(?ai:(?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{0,20000})-----END \1-----")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)(?:\.([A-Za-z0-9_-]*))?(?![A-Za-z0-9_-])")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*+)-----END \1-----")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,4}+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Fa-f])")
 
@@ -49,16 +52,23 @@ def _object(part: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def is_signed_token(header: str, body: str, signature: str | None) -> bool:
-    """A header that names its algorithm, and a body that is a JSON object or, for encrypted tokens, bytes."""
+def is_signed_token(header: str, body: str, signature: str) -> bool:
+    """A header that names its algorithm, a body that is a JSON object, and a signature (none if the algorithm is none)."""
     head = _object(header)
     if head is None or not isinstance(head.get("alg"), str):
         return False
-    if signature is None or (not signature and head["alg"].lower() != "none"):
+    if not signature and head["alg"].lower() != "none":
         return False
     return _object(body) is not None and (not signature or _decode64(signature) is not None)
 
 
+def is_encrypted_token(parts: list[str]) -> bool:
+    """Five parts: a header that names both algorithms, a key (may be empty), and a vector, a text and a tag."""
+    head = _object(parts[0])
+    named = head is not None and isinstance(head.get("alg"), str) and isinstance(head.get("enc"), str)
+    return named and all(_decode64(x) is not None for x in parts[1:]) and all(parts[2:])
+
+
 def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """(tag, first content byte, end) of the ASN.1 element at a place, if its length fits."""
     if at + 2 > end:
@@ -74,41 +84,91 @@ def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
+def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The ASN.1 elements that fill a range, or None if they do not."""
+    out = []
+    while at < end:
+        part = _tlv(data, at, end)
+        if part is None:
+            return None
+        out.append(part)
+        at = part[2]
+    return out
+
+
 def is_asn1_key(data: bytes) -> bool:
-    """A sequence that fills the bytes, whose elements fill it, led by a version or a key algorithm, with key material."""
-    top = _tlv(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data) or len(data) < 24:
+    """A sequence that fills the bytes, whose constructed elements are filled at every depth, led by a version or a key
+    algorithm, with key material."""
+    top = _elements(data, 0, len(data))
+    if top is None or len(data) < 24 or len(top) != 1 or top[0][0] != 0x30:
         return False
-    at, tags, longest = top[1], [], 0
-    while at < top[2]:
-        part = _tlv(data, at, top[2])
-        if part is None:
+    parts = _elements(data, *top[0][1:])
+    if parts is None:
+        return False
+    todo = [p for p in parts if p[0] & 0x20]
+    while todo:
+        inner = _elements(data, *todo.pop()[1:])
+        if inner is None:
             return False
-        tags.append(part[0])
-        longest = max(longest, part[2] - part[1])
-        if part[0] in (0x30, 0xA0, 0xA1):
-            inner = part[1]
-            while inner < part[2]:
-                step = _tlv(data, inner, part[2])
-                if step is None:
-                    return False
-                inner = step[2]
-        at = part[2]
+        todo += [p for p in inner if p[0] & 0x20]
+    tags, longest = [p[0] for p in parts], max((p[2] - p[1] for p in parts), default=0)
     return len(tags) >= 2 and tags[0] in (0x02, 0x30) and longest >= 16 and bool({0x02, 0x03, 0x04} & set(tags[1:]))
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """The private key magic, or fields each led by a four-byte length that fill the bytes, of which the first names a key type."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
+def _field(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """(a field led by its four-byte length, its end)."""
+    end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return (data[at + 4 : end], end) if at + 4 <= len(data) and end <= len(data) else None
+
+
+def _fields(data: bytes) -> list[bytes] | None:
+    """The fields that fill the bytes."""
+    at, out = 0, []
+    while at < len(data):
+        got = _field(data, at)
+        if got is None:
+            return None
+        out.append(got[0])
+        at = got[1]
+    return out
+
+
+_SSH_TYPE = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+\Z")
+_SSH_MAGIC = b"openssh-key-v1\0"
+
+
+def _is_ssh_public(data: bytes) -> bool:
+    fields = _fields(data)
+    return fields is not None and len(fields) >= 2 and _SSH_TYPE.match(fields[0]) is not None
+
+
+def _is_ssh_private(data: bytes) -> bool:
+    """Behind the magic: cipher, key derivation and its options, a number of public keys, that many of them, and one
+    private part, which fill the bytes; the two check numbers of a part that is not encrypted agree."""
+    at, head = len(_SSH_MAGIC), []
+    for _ in range(3):
+        got = _field(data, at)
+        if got is None:
             return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(data) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+\Z", fields[0]) is not None
+        head.append(got[0])
+        at = got[1]
+    count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not head[0].isascii() or not head[0] or not 1 <= count <= len(data):
+        return False
+    for _ in range(count):
+        got = _field(data, at)
+        if got is None or not _is_ssh_public(got[0]):
+            return False
+        at = got[1]
+    got = _field(data, at)
+    if got is None or got[1] != len(data) or len(got[0]) < 8:
+        return False
+    return head[0] != b"none" or got[0][:4] == got[0][4:8]
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """A private key behind its magic, or a public one: fields that fill the bytes, of which the first names a key type."""
+    return _is_ssh_private(data) if data.startswith(_SSH_MAGIC) else _is_ssh_public(data)
 
 
 def _confirmed(data: bytes | None) -> str | None:
@@ -126,11 +186,12 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
     found = [("assign", m.start(), m.end(), True) for m in _ASSIGN.finditer(text) if len(m[1]) >= 6]
     found += [("access", m.start(), m.end(), True) for m in _ACCESS.finditer(text)] if "AKIA" in text else []
     found += [("hex", m.start(), m.end(), True) for m in _HEX.finditer(text)]
-    inside: list[tuple[int, int]] = []
+    inside: list[tuple[int, int]] = []  # what is reported already: in order, without overlaps
 
     def add(kind: str, start: int, end: int) -> None:
-        if not any(s < end and start < e for s, e in inside):
-            inside.append((start, end))
+        k = bisect_left(inside, (start, start))
+        if (k == 0 or inside[k - 1][1] <= start) and (k == len(inside) or end <= inside[k][0]):
+            inside.insert(k, (start, end))
             found.append((kind, start, end, False))
 
     if "PRIVATE KEY-----" in text:
@@ -140,8 +201,11 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
                 add("armour", *m.span())
     if "eyJ" in text:
         for m in _TOKEN.finditer(text):
-            if is_signed_token(m[1], m[2], m[3]):
+            parts = m[0].split(".")
+            if len(parts) == 5 and is_encrypted_token(parts):
                 add("token", *m.span())
+            elif is_signed_token(*parts[:3]):
+                add("token", m.start(), m.start() + len(".".join(parts[:3])))
     for m in _BASE64.finditer(text):
         if kind := _confirmed(_decode64(m[0])):
             add(kind, *m.span())
