@@ -11,10 +11,10 @@ Equal fingerprints are one row before keys are made, so groups of copies cost on
 outgrow MOST is compared block by block in a second pass; nothing is dropped.  Of the verified links a task keeps a
 spanning forest; connected components then follow from alternating star contractions, without a driver loop over rows.
 
-To drop near duplicates, documents have several fingerprints of their word sets instead (see similar_nodes): 64 bits of
-one shingle fingerprint within 4 bits hold only copies that are nearly exact.  These miss passages that are added, cut
-or replaced in one block, so texts also meet under bands of least shingle hashes, and those meetings are verified by
-the shingles themselves (see shingle_links).
+To drop near duplicates, the same keys only find candidates, and texts decide (see near_duplicates).  One fingerprint of
+sign sums within 4 bits holds copies that are nearly exact: at a similarity of 0.8 such bits differ in 15 of 100.  The
+candidates' fingerprints are one bit of a least shingle hash each, which differ in 10 of 100 wherever the edits are, and
+there are PRINTS of them.
 
 Null or empty text: fingerprint zero, which links like any other.  A null id takes part, but names no component while
 the component has another id.  Repeated rows link to each other and keep their rows.
@@ -22,7 +22,7 @@ the component has another id.  Repeated rows link to each other and keep their r
 
 from __future__ import annotations
 
-from functools import lru_cache
+import functools
 from itertools import accumulate
 
 import numpy as np
@@ -36,17 +36,22 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType
 from .common import cut, documents, hashed_words, mix, window_hashes
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
-#: Fingerprints of a text's word set by which near duplicates are dropped.
-PRINTS = 4
-#: Words of a shingle, and the share of common shingles from which two texts are near duplicates.
+#: Words of a shingle, and the share of common shingles (repeats counted) from which two texts are near duplicates.
 NEAR_SHINGLE, NEAR = 5, 0.8
-#: Bands of so many least hashes each: at NEAR, two texts share a band with 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
-BANDS, BAND_ROWS = 16, 4
-#: Nodes that are broadcast to pick the texts that meet; more are joined by a shuffle.
+#: Fingerprints of a text for candidates.  At NEAR two of them meet with probability 0.7, so PRINTS with 0.97.
+PRINTS = 3
+#: Of the 96 bits that a key's rows carry, most that candidates differ in: 2.2 deviations above the mean at NEAR.
+CANDIDATE_BITS = 16
+#: Of the bytes of least hashes that are compared before shingles are, fewest equal ones: 3 deviations below the mean at NEAR.
+SKETCH = 64 * PRINTS
+SKETCH_EQUAL = int(SKETCH * NEAR - 3 * (SKETCH * NEAR * (1 - NEAR)) ** 0.5)
+#: Bytes of text that one side of a verifying task holds.
+NEAR_BYTES = 4 << 20
+#: Nodes that are broadcast to pick the texts that are candidates; more are joined by a shuffle.
 MAX_BROADCAST = 200_000
 _RNG = np.random.Generator(np.random.PCG64(0xBA4D))
-_FLIP = _RNG.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64)
-_ODD = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _RNG.integers(0, 2**64, SKETCH, dtype=np.uint64)
+_ODD = _RNG.integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Fingerprints under one key that one task compares at once; more go block by block.
 MOST = 2048
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -148,30 +153,68 @@ def pair_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(batches):
+    """Under every key of a fingerprint a row (key, print, more, node); more: further bits to compare, node: what links name.
+
+    Input: (print, more, node, salt), the salt telling kinds of fingerprints apart.
+    """
     for batch in batches:
-        prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        prints, more, node, salt = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         for at in range(0, len(prints), 2000):
-            part = prints[at : at + 2000]
-            keys, owner = pair_keys(part)
-            yield pa.record_batch({"key": pa.array(keys.astype(np.int32)), "print": pa.array(part[owner].view(np.int64))})
+            part = slice(at, at + 2000)
+            keys, owner = pair_keys(prints[part].view(np.uint64))
+            keys = keys | (salt[part][owner].astype(np.int32) << 26)
+            yield pa.record_batch({"key": pa.array(keys), "print": pa.array(prints[part][owner]), "more": pa.array(more[part][owner]), "node": pa.array(node[part][owner])})
+
+
+class Keyed:
+    """Rows under keys: fingerprints, further bits and nodes."""
+
+    def __init__(self, prints: np.ndarray, more: np.ndarray, nodes: np.ndarray):
+        self.prints, self.more, self.nodes = prints, more, nodes
+
+    def __getitem__(self, where) -> Keyed:
+        return Keyed(self.prints[where], self.more[where], self.nodes[where])
+
+    def __len__(self) -> int:
+        return len(self.prints)
+
+    def __add__(self, other: Keyed) -> Keyed:
+        return Keyed(*(np.concatenate(x) for x in ((self.prints, other.prints), (self.more, other.more), (self.nodes, other.nodes))))
+
+    def near(self, i: np.ndarray, d: int, max_bits: int) -> np.ndarray:
+        """Of places, whether the row ``d`` further on differs in max_bits or fewer."""
+        bits = np.bitwise_count(self.prints[i] ^ self.prints[i + d]) + np.bitwise_count(self.more[i] ^ self.more[i + d])
+        return bits <= max_bits
 
+    @classmethod
+    def of(cls, table) -> Keyed:
+        column = lambda name: table.column(name).to_numpy() if isinstance(table, pa.Table) else table.column(name).to_numpy(zero_copy_only=False)
+        return cls(column("print").view(np.uint64), column("more").view(np.uint32), column("node"))
 
-def forest(group: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+
+def forest(group: np.ndarray, rows: Keyed, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest over the pairs of equal group that differ in max_bits or fewer; rows sorted by group."""
-    n, left, right = len(prints), [], []
+    n, left, right = len(rows), [], []
     i, d = np.arange(n - 1 if n else 0), 1
     while True:
         i = i[i + d < n]
         i = i[group[i] == group[i + d]]
         if not len(i):
             break
-        near = i[np.bitwise_count(prints[i] ^ prints[i + d]) <= max_bits]
+        near = i[rows.near(i, d, max_bits)]
         left.append(near)
         right.append(near + d)
         d += 1
     if not left:
-        return prints[:0], prints[:0]
-    a, b, label = np.concatenate(left), np.concatenate(right), np.arange(n)
+        return rows.nodes[:0], rows.nodes[:0]
+    label = joined(n, np.concatenate(left), np.concatenate(right))
+    moved = np.flatnonzero(label != np.arange(n))
+    return rows.nodes[moved], rows.nodes[label[moved]]
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place of each place's component under links (a, b)."""
+    label = np.arange(n)
     while True:
         least = np.minimum(label[a], label[b])
         new = label.copy()
@@ -179,41 +222,44 @@ def forest(group: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.nda
         np.minimum.at(new, b, least)
         new = new[new]
         if np.array_equal(new, label):
-            break
+            return label
         label = new
-    moved = np.flatnonzero(label != np.arange(n))
-    return prints[moved], prints[label[moved]]
+
+
+_LINKS = "kind int, a long, b long, print long, more int"
 
 
 def _links(max_bits: int):
     """Links within each key of sorted rows; of a key with more than MOST rows, the rows themselves (kind 1)."""
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+    def out(kind: int, a: np.ndarray, b: np.ndarray, rows: Keyed | None = None) -> pa.RecordBatch:
+        n = len(a)
+        prints, more = (rows.prints.view(np.int64), rows.more.view(np.int32)) if rows else (np.zeros(n, np.int64), np.zeros(n, np.int32))
+        return pa.record_batch({"kind": pa.array(np.full(n, kind, np.int32)), "a": pa.array(a), "b": pa.array(b), "print": pa.array(prints), "more": pa.array(more)})
 
     def run(batches):
-        keys, prints, over = np.zeros(0, np.int32), np.zeros(0, np.uint64), None
+        keys, rows, over = np.zeros(0, np.int32), Keyed(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)), None
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-            prints = np.concatenate([prints, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+            keys = np.concatenate([keys, batch.column("key").to_numpy(zero_copy_only=False)])
+            rows = rows + Keyed.of(batch)
             if not len(keys):
                 continue
             cut_at = int(np.searchsorted(keys, keys[-1], "left"))
             if len(keys) - cut_at > MOST:
                 over, cut_at = keys[-1], len(keys)
-            yield from emit(keys[:cut_at], prints[:cut_at], over)
-            keys, prints = keys[cut_at:], prints[cut_at:]
-        yield from emit(keys, prints, over)
+            yield from emit(keys[:cut_at], rows[:cut_at], over)
+            keys, rows = keys[cut_at:], rows[cut_at:]
+        yield from emit(keys, rows, over)
 
-    def emit(keys: np.ndarray, prints: np.ndarray, over):
+    def emit(keys: np.ndarray, rows: Keyed, over):
         if not len(keys):
             return
         values, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
         large = (counts > MOST) | (values == over if over is not None else False)
         later = large[inverse]
         if later.any():
-            yield out(1, keys[later].astype(np.int64).view(np.uint64), prints[later])
-        a, b = forest(keys[~later], prints[~later], max_bits)
+            yield out(1, keys[later].astype(np.int64), rows.nodes[later], rows[later])
+        a, b = forest(keys[~later], rows[~later], max_bits)
         if len(a):
             yield out(0, a, b)
 
@@ -221,28 +267,26 @@ def _links(max_bits: int):
 
 
 def _block_links(max_bits: int):
-    def run(rows: pa.Table) -> pa.Table:
-        prints = np.unique(rows.column("print").to_numpy().view(np.uint64))
-        a, b = forest(np.zeros(len(prints), np.int8), prints, max_bits)
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+    def run(table: pa.Table) -> pa.Table:
+        a, b = forest(np.zeros(table.num_rows, np.int8), Keyed.of(table), max_bits)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (a, b) between different fingerprints that connect whatever links at max_bits or fewer connect.
+def links(rows: DataFrame, max_bits: int) -> DataFrame:
+    """Links (a, b) between nodes that connect whatever fingerprints that share a key and differ in max_bits or fewer connect.
 
-    prints: one column of distinct fingerprints.  max_bits: 4 at most, by the pigeonhole argument.
+    rows: (print, more, node, salt); bits of ``print`` and ``more`` count, and only equal salts (0 to 31) meet.  With
+    more = 0, fingerprints that differ in 4 bits or fewer always share a key.
     """
-    if not 0 <= max_bits <= 4:
-        raise ValueError("the key scheme holds for 4 bits or fewer")
-    keyed = prints.mapInArrow(_keyed, "key int, print long")
-    found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(max_bits), "kind int, a long, b long"))
-    late = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("print"))
+    keyed = rows.select("print", "more", "node", "salt").mapInArrow(_keyed, "key int, print long, more int, node long")
+    found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(max_bits), _LINKS))
+    late = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "print", "more")
     sized = late.join(late.groupBy("key").agg(F.ceil(F.count("*") / (MOST // 2)).alias("n")), "key")
-    own = F.pmod(F.xxhash64("print"), F.col("n"))
+    own = F.pmod(F.xxhash64("node"), F.col("n"))
     pairs = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    pairs = pairs.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "print")
+    pairs = pairs.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "print", "more", "node")
     slow = pairs.groupBy("key", "p", "q").applyInArrow(_block_links(max_bits), "a long, b long")
     # Under every key a node hangs on some root, and it has 108 keys at most.  Its roots hang on the least of them, which
     # the nodes of a large group share, so that group has about one link a node.
@@ -277,140 +321,143 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: its id, its fingerprint (16 hex digits) and the least id of its component."""
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprints(size)(F.col(text_col)).alias("print")))
     first = rows.groupBy("print").agg(F.min("id").alias("first"))
-    labels = components(links(first.select("print"), max_bits))
+    if not 0 <= max_bits <= 4:
+        raise ValueError("the key scheme holds for 4 bits or fewer")
+    nodes = first.select("print", F.lit(0).alias("more"), F.col("print").alias("node"), F.lit(0).alias("salt"))
+    labels = components(links(nodes, max_bits))
     placed = first.join(labels.select(F.col("node").alias("print"), "label"), "print", "left").withColumn("label", F.coalesce("label", "print"))
     least = placed.groupBy("label").agg(F.min("first").alias("component_id"))
     by_print = cut(placed.join(least, "label").select("print", "component_id"))
     return rows.join(by_print, "print").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_set_prints(text: str | None, count: int) -> list[int]:
-    """``count`` independent SimHash fingerprints of the set of a text's lower-cased words; zeros without a word."""
-    return _set_prints(_words(text), count)
-
-
-def _words(text: str | None) -> np.ndarray:
-    return hashed_words(pa.array([(text or "").lower()]))[0]
-
-
-def _set_prints(words: np.ndarray, count: int) -> list[int]:
-    if not len(words):
-        return [0] * count
-    words, out = np.unique(words), []
-    for k in range(1, count + 1):
-        hashes = mix(words ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
-        ones = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.uint32)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(words), bitorder="little").tobytes(), "little"))
-    return out
-
+# --- near duplicates by their texts -----------------------------------------------------------------------------
 
-def _shingle_set(words: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the different shingles; fewer words than a shingle has are one shingle."""
-    if 0 < len(words) < NEAR_SHINGLE:
-        return window_hashes(words, len(words), 1)
-    return np.unique(window_hashes(words, NEAR_SHINGLE))
 
-
-def _band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band from the least hashes of a set of shingles."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        np.minimum(least, ((shingles[at : at + 2048, None] ^ _FLIP) * _ODD).min(0), out=least)
-    return mix((mix(least) * _ODD).reshape(BANDS, BAND_ROWS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-
-
-def _signatures(count: int):
-    """``count`` word-set fingerprints, two sums that stand for the set of shingles, and its band keys."""
-
-    def one(text: str | None) -> np.ndarray:
-        words = _words(text)
-        shingles = _shingle_set(words)
-        sums = [shingles.sum(dtype=np.uint64), mix(shingles ^ _FLIP[0]).sum(dtype=np.uint64)]
-        return np.concatenate([np.array(_set_prints(words, count), np.uint64), np.array(sums, np.uint64), _band_keys(shingles)])
-
-    @arrow_udf(ArrayType(LongType()))
-    def run(text: pa.Array) -> pa.Array:
-        size = count + 2 + BANDS
-        flat = np.array([one(t.as_py()) for t in text], np.uint64).reshape(-1).view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size, dtype=np.int32)), pa.array(flat))
-
-    return run
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted hashes of a text's shingles, the n-th occurrence of one being an element of its own; a text with fewer words
+    than a shingle has is one shingle."""
+    words = hashed_words(pa.array([(text or "").lower()]))[0]
+    found = np.sort(window_hashes(words, min(len(words), NEAR_SHINGLE)) if len(words) else words)
+    first = np.searchsorted(found, found)
+    nth = (np.arange(len(found)) - first).astype(np.uint64)
+    return np.sort(np.where(nth > 0, mix(found + nth * np.uint64(0x9E3779B97F4A7C15)), found))
 
 
-@lru_cache(64)
-def _shingles_of(text: str) -> np.ndarray:
-    return _shingle_set(_words(text))
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """A byte of the least hash of the elements under each of SKETCH hash functions."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(elements), 2048):
+        np.minimum(least, ((elements[at : at + 2048, None] ^ _FLIP) * _ODD).min(0), out=least)
+    return (mix(least) >> np.uint64(56)).astype(np.uint8)
 
 
-def similarity(a: str | None, b: str | None) -> float:
-    """Common shingles of two texts as a share of all their shingles; two texts without a word are equal."""
-    x, y = _shingles_of(a or ""), _shingles_of(b or "")
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Common elements of two texts' shingles as a share of all; two texts without a word are equal."""
     common = len(np.intersect1d(x, y, assume_unique=True))
-    return common / max(1, len(x) + len(y) - common) if len(x) or len(y) else 1.0
+    return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
+
+
+@arrow_udf(ArrayType(LongType()))
+def _signatures(text: pa.Array) -> pa.Array:
+    """PRINTS fingerprints of 64 bits, then two sums that stand for the shingles."""
+    out = np.zeros((len(text), PRINTS + 2), np.uint64)
+    for row, t in enumerate(text):
+        found = shingles(t.as_py())
+        bits = (sketch(found) & 1).reshape(PRINTS, 64)
+        out[row, :PRINTS] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+        out[row, PRINTS:] = found.sum(dtype=np.uint64), mix(found ^ _FLIP[0]).sum(dtype=np.uint64)
+    flat = pa.array(out.reshape(-1).view(np.int64))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, PRINTS + 2, dtype=np.int32)), flat)
+
+
+def _verified(table: pa.Table) -> pa.Table:
+    """Links of a spanning forest of the near duplicates between asking rows and all rows of a task."""
+    sets = [shingles(t.as_py()) for t in table.column("text")]
+    nodes, asks = table.column("node").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
+    order = np.argsort(~asks, kind="stable")  # those that ask come first
+    sets, nodes, n_ask = [sets[k] for k in order], nodes[order], int(asks.sum())
+    linked = np.flatnonzero(table.column("linked").to_numpy(zero_copy_only=False)[order])
+    sketches, sizes = np.array([sketch(x) for x in sets], np.uint8).reshape(-1, SKETCH), np.array([len(x) for x in sets])
+    label, left, right = np.arange(len(sets)), [], []
+    label[linked] = linked.min(initial=len(sets))  # all near the hub, so one component already
+    for i in range(n_ask):
+        small, large = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
+        maybe = (label[i + 1 :] != label[i]) & (small >= NEAR * large)
+        places = np.flatnonzero(maybe) + i + 1
+        places = places[(sketches[places] == sketches[i]).sum(1) >= SKETCH_EQUAL]
+        for j in places.tolist():
+            if label[i] != label[j] and similarity(sets[i], sets[j]) >= NEAR:
+                left.append(nodes[i])
+                right.append(nodes[j])
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
 @arrow_udf(BooleanType())
 def _near(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([similarity(x.as_py(), y.as_py()) >= NEAR for x, y in zip(a, b, strict=True)], pa.bool_())
+    memo: dict = {}
+    out = []
+    for x, y in zip(a, b, strict=True):
+        y = y.as_py()
+        if y not in memo:
+            memo = {y: shingles(y)}
+        out.append(similarity(shingles(x.as_py()), memo[y]) >= NEAR)
+    return pa.array(out, pa.bool_())
 
 
-def shingle_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified links (a, b) that connect the nodes which share a band and NEAR of their shingles or more.
+def verified_links(texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the near duplicates within each candidate component.
 
-    texts: (node, text_key, text); nodes: (node, text_key, bands), one for each set of shingles.  First each node of a
-    band is held against the band's least node.  Then, of bands whose nodes are not all connected, every pair across
-    components that was not tried yet.
+    texts: (node, label, text).  A component whose texts fill one task is compared there.  In a larger one all texts are
+    first held against the text of its least node; those that are not near it are then compared with all, block by block.
     """
-    banded = nodes.select(F.struct("node", "text_key").alias("at"), F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("at").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    tried = cut(banded.join(hubs, "band").filter("at <> hub").select("at", "hub").distinct())
-    wanted = cut(tried.select("at").union(tried.select("hub")).distinct().select("at.*"))
-    few = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    near = cut(texts.join(F.broadcast(wanted) if few else wanted, ["node", "text_key"], "left_semi").select(F.struct("node", "text_key").alias("at"), "text"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(near, "at").join(near.select(F.col("at").alias("hub"), F.col("text").alias("other")), "hub")
-        return cut(both.filter(_near("text", "other")).select(F.col("at.node").alias("a"), F.col("hub.node").alias("b")).filter("a <> b").distinct())
-
-    first = verified(tried)
-    labels = components(first).select(F.col("node"), "label")
-    placed = nodes.join(labels, "node", "left").select(F.struct("node", "text_key").alias("at"), F.coalesce("label", "node").alias("label"), F.explode("bands").alias("band"))
-    mixed = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("p"), F.max("label").alias("q")).filter("n > 2 AND p <> q").select("band")
-    rest = cut(placed.join(mixed, "band", "left_semi"))
-    other = rest.select("band", F.col("at").alias("hub"), F.col("label").alias("other_label"))
-    late = rest.join(other, "band").filter("label <> other_label AND at > hub").select("at", "hub").distinct().join(tried, ["at", "hub"], "left_anti")
-    return first.union(verified(late))
-
-
-def similar_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = PRINTS, max_bits: int = MAX_BITS) -> DataFrame:
-    """(node, label): the least id of each set of equal shingles, and the least id of its component.
-
-    Two texts link if any of their ``count`` word-set fingerprints differ in max_bits or fewer, or if they share NEAR of
-    their five-word shingles or more.  The fingerprints also link texts below NEAR; texts that only share common words are
-    tens of bits apart.
+    sizes = texts.groupBy("label").agg(F.ceil(F.sum(F.octet_length("text") + 64) / NEAR_BYTES).cast("int").alias("blocks"), F.min("node").alias("hub"))
+    rows = texts.join(sizes, "label")
+    small = rows.filter("blocks <= 1").select("label", F.lit(0).alias("p"), F.lit(0).alias("q"), "node", "text", F.lit(True).alias("asks"), F.lit(False).alias("linked"))
+    large = rows.filter("blocks > 1")
+    hubs = large.filter("node = hub").select("label", F.col("text").alias("hub_text")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    held = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)).cast("int")).join(hubs, ["label", "salt"])
+    held = cut(held.select("label", "node", "hub", "blocks", "text", ((F.col("node") == F.col("hub")) | _near("text", "hub_text")).alias("near")))
+    near_hub = held.filter("near AND node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    asking = held.filter("NOT near").groupBy("label").agg(F.ceil(F.sum(F.octet_length("text") + 64) / NEAR_BYTES).cast("int").alias("askers"))
+    spread = held.join(asking, "label")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ask = spread.filter("NOT near").select("label", own("askers").alias("p"), others("blocks").alias("q"), "node", "text", F.lit(True).alias("asks"), F.lit(False).alias("linked"))
+    all_ = spread.select("label", others("askers").alias("p"), own("blocks").alias("q"), "node", "text", F.lit(False).alias("asks"), F.col("near").alias("linked"))
+    return small.union(ask).union(all_).groupBy("label", "p", "q").applyInArrow(_verified, "a long, b long").union(near_hub)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_key): of each group of near duplicates the row with the least id (then key).
+
+    Texts are near duplicates if they share NEAR of their shingles of NEAR_SHINGLE words or more, repeats counted; groups
+    are the components of such pairs.  Texts of equal shingles are one node.  Nodes whose fingerprints share a Golay key
+    and differ little are candidates; within each component of candidates the texts themselves are compared.
     """
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("node"), key.alias("text_key"), F.col(text_col).alias("text"))
-    firsts = named.select(F.struct("node", "text_key").alias("at"), _signatures(count)("text").alias("sig")).groupBy("sig").agg(F.min("at").alias("at"))
-    nodes = cut(firsts.select("at.*", F.slice("sig", 1, count).alias("prints"), F.slice("sig", count + 3, BANDS).alias("bands")))
-    edges = shingle_links(named, nodes)
-    for k in range(count):
-        own = nodes.select("node", F.get("prints", F.lit(k)).alias("print"))
-        least = cut(own.groupBy("print").agg(F.min("node").alias("least")))
-        met = links(least.select("print"), max_bits)
-        left, right = (least.select(F.col("print").alias(c), F.col("least").alias(f"n{c}")) for c in "ab")
-        part = own.join(least, "print").filter("node <> least").select("node", "least").union(met.join(left, "a").join(right, "b").select("na", "nb"))
-        edges = edges.union(part)
-    labels = components(edges.toDF("a", "b"))
-    return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = PRINTS, max_bits: int = MAX_BITS) -> DataFrame:
+    named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), key.alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    signed = named.select(F.struct("id", "text_key").alias("at"), _signatures("text").alias("sig"))
+    nodes = cut(signed.groupBy("sig").agg(F.min("at").alias("at")).select(F.xxhash64("sig").alias("node"), "at", "sig"))
+    prints = nodes.select("node", F.posexplode(F.slice("sig", 1, PRINTS)).alias("salt", "print"), "sig")
+    following = F.get("sig", (F.col("salt") + 1) % PRINTS)
+    candidates = links(prints.select("print", F.shiftright(following, 32).cast("int").alias("more"), "node", "salt"), CANDIDATE_BITS)
+    labels = cut(nodes.select("node", "at").join(components(candidates), "node"))
+    few = labels.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    wanted = labels.select("at.id", "at.text_key", "node", "label")
+    texts = cut(named.join(F.broadcast(wanted) if few else wanted, ["id", "text_key"]).select("node", "label", "text").dropDuplicates(["node"]))
+    groups = components(verified_links(texts))
+    return nodes.join(groups, "node", "left").groupBy(F.coalesce("label", "node").alias("group")).agg(F.min("at").alias("at")).select("at.*")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of near duplicates the document with the least id; repeated rows of it count once.  Rows without an
-    id have no part in it and stay; rows of equal id are one document."""
-    kept = similar_nodes(docs, id_col, text_col, count, max_bits).filter("node = label").select(F.col("node").alias(id_col))
-    keyed = docs.filter(F.col(id_col).isNotNull()).withColumn("key__", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    named = keyed.join(kept, id_col, "left_semi").dropDuplicates([id_col, "key__"]).drop("key__")
+    id have no part in it and stay."""
+    first, second = (functools.reduce(lambda name, _: f"{name}_" if name in docs.columns else name, range(len(docs.columns)), x) for x in ("id__", "key__"))
+    kept = near_duplicates(docs, id_col, text_col).toDF(first, second)
+    keyed = docs.filter(F.col(id_col).isNotNull()).withColumn(first, F.col(id_col)).withColumn(second, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    named = keyed.join(kept, [first, second], "left_semi").dropDuplicates([first, second])
     return named.select(*docs.columns).union(docs.filter(F.col(id_col).isNull()))
 
 

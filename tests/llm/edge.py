@@ -19,7 +19,7 @@ ROWS = [
     (7, "one two three", "de", "b"),
     (8, "Mail a.b@c.example.org or +1 (555) 123-4567, card 4111 1111 1111 1111, host 10.0.0.255é\U0001f600", "fr", "b"),
 ]
-CLASHES = ("chunk", "h", "x", "key", "print", "w", "label", "spans", "found", "id", "t", "lang_pred", "score", "base", "equal", "piece_ids", "kept")
+CLASHES = ("chunk", "h", "x", "key", "print", "w", "label", "spans", "found", "id", "t", "lang_pred", "score", "base", "equal", "piece_ids", "kept", "_key", "key__", "id__", "row__", "row", "seed", "i")
 
 
 def edge_docs(spark: SparkSession) -> DataFrame:

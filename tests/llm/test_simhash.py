@@ -1,6 +1,7 @@
 """Near duplicates: fingerprints and components against plain versions, the code's keys, block-wise comparison, edges."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -36,21 +37,37 @@ def plain_components(prints, ids, bits=4):
     return [least.get(find(i)) for i in range(len(f))]
 
 
-def plain_dedup(ids, texts, bits=4):
-    """Ids that stay: the least of each component of texts with some word-set fingerprint within a few bits."""
-    prints = np.array([simhash.word_set_prints(texts[i], simhash.PRINTS) for i in ids], np.uint64)
-    label = list(range(len(ids)))
+def plain_shingles(text):
+    """Five-word shingles and how often each occurs; fewer words are one shingle."""
+    w = (text or "").lower().encode().split()
+    return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def plain_similarity(x, y):
+    return (x & y).total() / (x | y).total() if x or y else 1.0
+
+
+def plain_groups(texts):
+    """Label of each text: the least place of the component of pairs with a similarity of 0.8 or more."""
+    sets, label = [plain_shingles(t) for t in texts], list(range(len(texts)))
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    for i in range(len(ids)):
-        for j in np.flatnonzero((np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= bits).any(1)) + i + 1:
-            a, b = sorted((find(i), find(int(j))))
-            label[b] = a
-    return [d for k, d in enumerate(ids) if find(k) == k]
+    sizes = [s.total() for s in sets]
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]) and find(i) != find(j) and plain_similarity(x, sets[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+    return [find(k) for k in range(len(texts))]
+
+
+def plain_dedup(ids, texts):
+    """Ids that stay: the least of each group."""
+    return [d for k, (d, g) in enumerate(zip(ids, plain_groups([texts[i] for i in ids]), strict=True)) if g == k]
 
 
 def check(docs):
@@ -96,23 +113,21 @@ def family(n):
 
 def test_large_keys_go_block_by_block(spark, monkeypatch):
     prints = sorted(set(family(120)))
-    df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "print long")
+    signed = [int(np.uint64(p).view(np.int64)) for p in prints]
+    df = spark.createDataFrame([(s, 0, s, 0) for s in signed], "print long, more int, node long, salt int")
     want = plain_components(prints, list(range(len(prints))))
+    found = simhash._links
     for most in (2048, 4):
-        found = simhash._links
         monkeypatch.setattr(simhash, "MOST", most)
-        keyed = df.mapInArrow(simhash._keyed, "key int, print long")
 
         def run(batches, most=most):
             simhash.MOST = most
             yield from found(4)(batches)
 
         monkeypatch.setattr(simhash, "_links", lambda bits, run=run: run)
-        assert keyed.count() > 0
-        labels = {r["node"]: r["label"] for r in simhash.components(simhash.links(df)).collect()}
+        labels = {r["node"]: r["label"] for r in simhash.components(simhash.links(df, 4)).collect()}
         by = {}
-        for p, c in zip(prints, want, strict=True):
-            s = int(np.uint64(p).view(np.int64))
+        for s, c in zip(signed, want, strict=True):
             by.setdefault(c, set()).add(labels.get(s, s))
         assert all(len(x) == 1 for x in by.values()) and len({next(iter(x)) for x in by.values()}) == len(by)
         monkeypatch.setattr(simhash, "_links", found)
@@ -147,11 +162,6 @@ def test_one_of_each_group_stays(spark):
     assert kept.count(1) == 1 and 5 not in kept and 3 not in kept and kept.count(2) == 1
 
 
-def shingles(text):
-    w = text.lower().split()
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-
-
 def edited(n=24):
     """(kind, text): each text, then copies with words added, cut, replaced in a block, moved, or replaced all over."""
     rnd, out = random.Random(8), []
@@ -178,28 +188,71 @@ def test_added_cut_and_replaced_passages_go(spark):
     for k, (kind, text) in enumerate(made):
         last = k if kind == "base" else last
         if k in near:
-            x, y = shingles(text), shingles(made[last][1])
-            assert len(x & y) >= 0.8 * len(x | y)
+            assert plain_similarity(plain_shingles(text), plain_shingles(made[last][1])) >= 0.8
     docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(made)], "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
     assert not kept & near
     assert {k for k, (kind, _) in enumerate(made) if kind in ("base", "far")} <= kept
 
 
-def test_shingle_links_against_every_pair(spark):
-    rnd = random.Random(4)
-    texts = [t for _, t in edited(8)]
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["doc_id"] for r in simhash.drop_near_duplicates(docs).orderBy("doc_id").collect()]
+
+
+def test_shuffled_and_repeated_words_stay(spark):
+    words = [f"w{k}" for k in range(200)]
+    shuffled = random.Random(1).sample(words, 200)
+    assert kept_of(spark, [" ".join(w) for w in (words, shuffled, words * 3)]) == [0, 1, 2]
+
+
+def drifting():
+    """Texts along a chain, and copies of one text with ever more edits: some near each other, some near the first only."""
+    rnd, texts = random.Random(4), [t for _, t in edited(6)]
     chain = [f"c{k}" for k in range(400)]
     for _ in range(12):
         chain = chain[18:] + [f"c{rnd.randrange(10**6)}" for _ in range(18)]
         texts.append(" ".join(chain))
-    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
-    for i, x in enumerate(sets):
-        for j in range(i):
-            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
-                a, b = sorted((label[i], label[j]))
-                label = [a if y == b else y for y in label]
-    named = spark.createDataFrame(list(enumerate(texts)), "node long, text string").withColumn("text_key", simhash.F.xxhash64("text"))
-    nodes = named.select("node", "text_key", simhash.F.slice(simhash._signatures(4)("text"), 7, simhash.BANDS).alias("bands"))
-    got = {r["node"]: r["label"] for r in simhash.components(simhash.shingle_links(named, nodes)).collect()}
-    assert [got.get(k, k) for k in range(len(texts))] == label
+    base = [f"b{k}" for k in range(200)]
+    for _ in range(120):
+        words = list(base)
+        for at in rnd.sample(range(200), rnd.randrange(1, 12)):
+            words[at] = f"e{rnd.randrange(10**6)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_groups_follow_every_pair(spark, monkeypatch):
+    texts = drifting()
+    label = plain_groups(texts)
+    assert len(set(label[-120:])) > 3
+    want = [k for k, g in enumerate(label) if g == k]
+    assert kept_of(spark, texts) == want
+    monkeypatch.setattr(simhash, "NEAR_BYTES", 20_000)  # candidates of several blocks, held against a hub first
+    assert kept_of(spark, texts) == want
+
+
+def test_similarity_is_exact():
+    texts = [*drifting()[-10:], "a b c", "a b c d e", "a b c d e a b c d e", "a b c d e " * 9, "", "x"]
+    for x in texts:
+        for y in texts:
+            assert abs(simhash.similarity(simhash.shingles(x), simhash.shingles(y)) - plain_similarity(plain_shingles(x), plain_shingles(y))) < 1e-12
+
+
+def test_candidates_meet_at_the_threshold():
+    """Of random pairs that differ in one bit of ten, as at a similarity of 0.8, nearly all meet under some fingerprint."""
+    rng, n = np.random.default_rng(3), 600
+    flips = np.packbits(rng.random((n, simhash.PRINTS, 64)) < (1 - simhash.NEAR) / 2, axis=2, bitorder="little").view("<u8")[:, :, 0]
+    prints = rng.integers(0, 2**64, (n, simhash.PRINTS), dtype=np.uint64)
+    met = np.zeros(n, bool)
+    for k in range(simhash.PRINTS):
+        tagged = [np.unique(owner.astype(np.int64) << 27 | keys) for keys, owner in map(simhash.pair_keys, (prints[:, k], prints[:, k] ^ flips[:, k]))]
+        bits = np.bitwise_count(flips[:, k]) + np.bitwise_count(flips[:, (k + 1) % simhash.PRINTS] >> np.uint64(32))
+        met |= np.isin(np.arange(n), np.intersect1d(*tagged) >> 27) & (bits <= simhash.CANDIDATE_BITS)
+    assert met.mean() > 0.99
+
+
+def test_clashing_names_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y"), (2, "a b c", "x", "y"), (None, "a b c", "x", "y")], "doc_id long, text string, key__ string, id__ string")
+    out = simhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.filter("doc_id = 1 OR doc_id IS NULL").collect()))
