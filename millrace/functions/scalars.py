@@ -174,9 +174,33 @@ def terminal_time(status: Column, ts: Column) -> Column:
 
 
 def merge_maps(old: Column, new: Column) -> Column:
-    """Key by key, the new value where there is one."""
+    """Key by key, the new value where the new map has the key, be it null."""
     empty = F.create_map().cast("map<string,string>")
-    return F.map_zip_with(F.coalesce(old, empty), F.coalesce(new, empty), lambda k, a, b: F.coalesce(b, a))
+    old, new = F.coalesce(old, empty), F.coalesce(new, empty)
+    return F.map_zip_with(old, new, lambda k, a, b: F.when(F.map_contains_key(new, k), b).otherwise(a))
+
+
+def merge_config(old: Column, new: Column) -> Column:
+    """Two levels: sections of the new configuration are merged into those of the old one, key by key."""
+    empty = F.create_map().cast("map<string,map<string,string>>")
+    old, new = F.coalesce(old, empty), F.coalesce(new, empty)
+    return F.map_zip_with(old, new, lambda k, a, b: F.when(F.map_contains_key(new, k), merge_maps(a, b)).otherwise(a))
+
+
+#: The keys under which a record may hold its permit, in order.
+PERMIT_KEYS = ("permit_number", "permitNumber", "permit_no", "permitNo", "permit", "permit_id", "permitId", "well_permit", "wellPermit", "drilling_permit", "drillingPermit")
+
+
+def permit_of_record(record: Column) -> Column:
+    """The digits of the first permit key of a JSON record that is a string with digits."""
+    string = lambda v, key: F.try_variant_get(v, f"$.{key}", "variant")
+    digits = lambda x: F.when(F.schema_of_variant(x) == "STRING", digits_of(F.try_variant_get(x, "$", "string")))
+    return F.get(F.transform(F.array(F.try_parse_json(record)), lambda v: F.coalesce(*[digits(string(v, key)) for key in PERMIT_KEYS])), F.lit(0))
+
+
+def feature_centre(lat: Column, lon: Column, minlat: Column, maxlat: Column, minlon: Column, maxlon: Column) -> Column:
+    """A feature's own centre if both of its sides are finite, else the middle of its bounds."""
+    return F.coalesce(centre(lat, lat, lon, lon), centre(minlat, maxlat, minlon, maxlon))
 
 
 def centre(minlat: Column, maxlat: Column, minlon: Column, maxlon: Column) -> Column:

@@ -139,3 +139,10 @@ def constraint_report(checks: dict[str, DataFrame]) -> DataFrame:
         row = found.agg(F.lit(name).alias("check_name"), F.count("*").alias("violations"))
         out = row if out is None else out.union(row)
     return out
+
+
+def append_comment(comments: Column, comment: Column) -> Column:
+    """A JSON array of comments with one more at its end; what is not an array gives way to a new one.  comment: a struct."""
+    new = F.to_json(comment)
+    old = F.when(F.json_array_length(comments).isNotNull(), F.regexp_replace(F.trim(comments), r"\s*\]$", ""))
+    return F.when(old.isNull(), F.concat(F.lit("["), new, F.lit("]"))).otherwise(F.concat(old, F.when(F.json_array_length(comments) > 0, ",").otherwise(""), new, F.lit("]")))

@@ -23,15 +23,16 @@ def parse_chunks(rows: DataFrame, json: str = "payload") -> DataFrame:
 
 
 def page_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per page: number (its index, or its place if the index is 0 or missing), text, blocks, size."""
-    p = docs.select(id_col, F.posexplode("doc.pages").alias("pos", "page"))
+    """One row per page: number (its index, or its place if the index is 0 or missing), text, blocks, size; a document
+    without pages has one row without a place."""
+    p = docs.select(id_col, F.posexplode_outer("doc.pages").alias("pos", "page"))
     index = F.coalesce(F.nullif(F.col("page.pageIndex"), F.lit(0)), F.col("pos"))
     return p.select(id_col, "pos", index.alias("page_index"), F.coalesce("page.pageIndex", F.lit(0)).alias("feed_index"), F.coalesce("page.markdown.text", F.lit("")).alias("text"), F.col("page.sourceBlocks").alias("blocks"), "page.pageHeight", "page.pageWidth")
 
 
 def block_rows(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per block, with its page and place."""
-    b = pages.select(id_col, F.col("pos").alias("page_pos"), "page_index", "feed_index", F.posexplode("blocks").alias("block_pos", "block"))
+    """One row per block, with its page and place; a page without blocks has one row without a place."""
+    b = pages.select(id_col, F.col("pos").alias("page_pos"), "page_index", "feed_index", F.posexplode_outer("blocks").alias("block_pos", "block"))
     return b.select(id_col, "page_pos", "page_index", "feed_index", "block_pos", F.col("block.blockId").alias("block_id"), F.lower(F.coalesce("block.blockLabel", F.lit(""))).alias("label"), F.coalesce("block.blockContent", F.lit("")).alias("content"))
 
 
@@ -48,7 +49,8 @@ def tables(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def feed(blocks: DataFrame, id_col: str = "doc_id", blocked: bool = False) -> DataFrame:
     """The text of a document for a model: each non-blank block in the markdown of its label, an empty line behind it;
-    with marks: a line for each page and block.  Pages without a block row have no line here."""
+    with marks: a line for each page, also one without blocks, and for each block.  With marks, a document without pages
+    has an empty feed."""
     kept = blocks.filter(~is_blank(F.col("content"))) if not blocked else blocks
     text = block_markdown(F.trim("content"), F.col("label"))
     lines = F.concat(text, F.lit("\n"))
@@ -59,7 +61,7 @@ def feed(blocks: DataFrame, id_col: str = "doc_id", blocked: bool = False) -> Da
     per = kept.withColumn("line", lines).groupBy(id_col, "page_pos", "feed_index").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("body"), F.count("line").alias("kept"))
     if blocked:
         head = F.concat(F.lit("=== PAGE "), F.col("feed_index") + 1, F.lit(" ===\n"))
-        per = per.withColumn("body", F.when(F.col("kept") > 0, F.concat(head, F.lit("\n"), F.col("body"))).otherwise(head))
+        per = per.withColumn("body", F.when(F.col("kept") > 0, F.concat(head, F.lit("\n"), F.col("body"))).when(F.col("page_pos").isNotNull(), head))
     return per.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_pos", "body"))), lambda s: s["body"]), "\n").alias("feed"))
 
 
@@ -71,7 +73,7 @@ def document_text(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def document_totals(pages: DataFrame, blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Pages, tables and text length of each document."""
-    p = pages.groupBy(id_col).agg(F.count("*").alias("n_pages"), F.sum(F.length("text")).alias("text_length"))
+    p = pages.groupBy(id_col).agg(F.count("pos").alias("n_pages"), F.sum(F.length("text")).alias("text_length"))
     t = tables(blocks, id_col).groupBy(id_col).agg(F.count("*").alias("n_tables"))
     return p.join(t, id_col, "left").withColumn("n_tables", F.coalesce("n_tables", F.lit(0)))
 

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.scalars import extension
 
 MAX_UPLOAD = 50 * 1024 * 1024
-ALLOWED = (".pdf", ".png", ".jpg", ".jpeg", ".txt", ".doc", ".docx")
+#: What may be uploaded, by extension or by content type.
+ALLOWED = (".pdf", ".txt", ".doc", ".docx", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".tif", ".webp")
+ALLOWED_TYPES = (
+    "application/pdf", "text/plain", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "image/png", "image/jpeg", "image/jpg", "image/gif", "image/bmp", "image/tiff", "image/tif", "image/webp",
+)
 
 
 def where_given(df: DataFrame, **values) -> DataFrame:
@@ -95,20 +100,55 @@ def fallback(primary: DataFrame, secondary: DataFrame, on: str, value: str) -> D
     return p.join(s, on, "full").select(on, F.coalesce("p", "s").alias(value), F.when(F.col("p").isNotNull(), "primary").when(F.col("s").isNotNull(), "secondary").alias("origin"))
 
 
-def admission(files: DataFrame, name: str = "filename", size: str = "size", allowed: tuple[str, ...] = ALLOWED, most: int = MAX_UPLOAD) -> DataFrame:
-    """Whether a file may be taken in, with the first reason against it."""
-    reason = F.when(~F.coalesce(extension(F.col(name)).isin(*allowed), F.lit(False)), "type").when(F.col(size) > most, "size")
-    return files.withColumn("reject_reason", reason)
+def admission(files: DataFrame, name: str = "filename", size: str = "size", allowed: tuple[str, ...] = ALLOWED, most: int = MAX_UPLOAD, mime: str | None = None, types: tuple[str, ...] = ALLOWED_TYPES) -> DataFrame:
+    """Whether a file may be taken in, with the first reason against it: neither its extension nor its content type (where
+    that column is given) is allowed, or it is too large."""
+    known = F.coalesce(extension(F.col(name)).isin(*allowed), F.lit(False))
+    if mime is not None:
+        known |= F.coalesce(F.col(mime).isin(*types), F.lit(False))
+    return files.withColumn("reject_reason", F.when(~known, "type").when(F.col(size) > most, "size"))
 
 
 def unique_slugs(names: DataFrame, base: str, order: str, taken: DataFrame | None = None) -> DataFrame:
-    """A slug for every row: the base, then base-1, base-2 and so on in order, past those that are taken."""
-    w = Window.partitionBy(base).orderBy(order)
-    ranked = names.withColumn("k", F.row_number().over(w) - 1)
-    if taken is not None:
-        used = taken.select(F.regexp_replace("slug", r"-\d+$", "").alias(base)).groupBy(base).agg(F.count("*").alias("used"))
-        ranked = ranked.join(used, base, "left").withColumn("k", F.col("k") + F.coalesce("used", F.lit(0))).drop("used")
-    return ranked.withColumn("slug", F.when(F.col("k") == 0, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("k")))).drop("k")
+    """A slug for every row, in order: the first of base, base-1, base-2 and so on that neither ``taken`` nor a row before
+    has.  A null base has no slug.
+
+    Only slugs of one family can clash: those that are the same without numbers at their end.  In a family of one base, the
+    r-th row takes the r-th free number, found from the base's taken numbers.  A family of several bases (say a and a-1) is
+    walked in order by one task.
+    """
+    root = lambda c: F.regexp_replace(c, r"(-[0-9]+)+$", "")
+    rows = names.withColumn("family__", root(F.col(base)))
+    mixed = rows.groupBy("family__").agg((F.min(base) != F.max(base)).alias("mixed__"))
+    rows = rows.join(mixed, "family__", "left")
+    have = (taken.select("slug") if taken is not None else names.sparkSession.createDataFrame([], "slug string")).filter("slug IS NOT NULL").distinct()
+
+    number = F.when(F.col("slug") == F.col(base), F.lit(0)).otherwise(F.nullif(F.regexp_extract("slug", r"-(0|[1-9][0-9]{0,8})$", 1), F.lit("")).cast("int"))
+    bases = rows.filter("NOT mixed__").select(base).distinct()
+    tagged = have.select("slug", F.explode(F.array_distinct(F.array(F.col("slug"), F.regexp_replace("slug", r"-[0-9]+$", "")))).alias(base))
+    used = tagged.join(bases, base).withColumn("n", number).filter((F.col("n") > 0) | (F.col("slug") == F.col(base))).groupBy(base).agg(F.sort_array(F.collect_set("n")).alias("used__"))
+    single = rows.filter("NOT mixed__").withColumn("rank__", F.row_number().over(Window.partitionBy(base).orderBy(order)) - 1).join(used, base, "left")
+    free = F.aggregate(F.coalesce("used__", F.array().cast("array<int>")), F.col("rank__"), lambda at, n: F.when(n <= at, at + 1).otherwise(at))
+    columns = [c for c in names.columns if c != "slug"]
+    plain = single.withColumn("k__", free).select(*columns, F.when(F.col("k__") == 0, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("k__"))).alias("slug"))
+
+    def walk(group, other):
+        seen, out = set(other["slug"]), []
+        group = group.sort_values(order)
+        for name in group[base]:
+            slug, k = name, 0
+            while slug in seen:
+                k += 1
+                slug = f"{name}-{k}"
+            seen.add(slug)
+            out.append(slug)
+        group["slug"] = out
+        return group[[*columns, "slug"]]
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in names.dtypes if c != "slug")
+    several = rows.filter("mixed__").select(*columns, "family__").groupBy("family__").cogroup(have.withColumn("family__", root(F.col("slug"))).join(mixed.filter("mixed__"), "family__", "left_semi").groupBy("family__")).applyInPandas(walk, f"{kinds}, slug string")
+    none = rows.filter(F.col(base).isNull()).select(*columns, F.lit(None).cast("string").alias("slug"))
+    return plain.union(several).union(none)
 
 
 def any_of(conditions: list[Column]) -> Column:

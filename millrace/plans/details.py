@@ -11,6 +11,7 @@ from ..operators import documents as D
 from ..operators import enrich as X
 from ..operators import listing as L
 from ..operators import records as R
+from ..streaming import flows
 from .registry import _MINE, _POINTS, USER, _arrays, _payload, _points, query, table_query
 
 
@@ -78,9 +79,9 @@ def prompt_lengths(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.length(R.prompt(text, F.lit("{}"))).cast("long").alias("n"))
 
 
-@query("job_files", sql="SELECT id, unnest(range(1, page_count + 1)) AS page_no FROM job_files WHERE job_id % 10 = 0 AND page_count > 0")
+@query("job_files", sql="SELECT id, unnest(range(1, page_count + 1)) AS page_no FROM job_files WHERE page_count > 0")
 def placeholder_pages(files: DataFrame) -> DataFrame:
-    return D.placeholder_pages(files.filter("job_id % 10 = 0"), "id", "page_count").select("id", F.col("page_no").cast("long").alias("page_no"))
+    return D.placeholder_pages(files, "id", "page_count").select("id", F.col("page_no").cast("long").alias("page_no"))
 
 
 @table_query("documents", sql="SELECT doc_id, CAST(0 AS DOUBLE) AS seconds, 'pdf' AS file_type, (len(string_split(coalesce(text, ''), chr(10))) - 1) // 5 + 1 AS n_pages FROM documents")
@@ -92,12 +93,12 @@ def extraction_metadata(documents: DataFrame) -> DataFrame:
 
 @query("job_files", "well_registry", "preview_items", sql="""
 , r AS (SELECT trim(permit_no) AS k, arg_min(api_wellno, line_no) AS api, arg_min(lease_name, line_no) AS lease FROM well_registry GROUP BY 1),
-f AS (SELECT id, coalesce(nullif(regexp_replace(regexp_extract(filename, '([0-9]+)', 1), '^0+', ''), ''), '0') AS key, lease_name AS own FROM job_files WHERE job_id % 5 = 0)
+f AS (SELECT id, coalesce(nullif(regexp_replace(regexp_extract(filename, '([0-9]+)', 1), '^0+', ''), ''), '0') AS key, lease_name AS own FROM job_files)
 SELECT f.id, f.key AS permit, r.api AS api_number, CASE WHEN f.own <> '' THEN f.own WHEN r.k IS NULL THEN f.own ELSE r.lease END AS lease_name FROM f LEFT JOIN r ON r.k = f.key""")
 def corrected_records(files: DataFrame, registry: DataFrame, items: DataFrame) -> DataFrame:
     """The record's key is corrected from the file name, then enriched."""
-    permit, _ = S.reconcile(S.permit_of_filename(F.col("filename")), S.first_with_digits([F.col("permit_number")]))
-    recs = files.filter("job_id % 5 = 0").select("id", "lease_name", permit.alias("permit"))
+    found = files.select("id", "lease_name", S.permit_of_filename(F.col("filename")).alias("f"), S.first_with_digits([F.col("permit_number")]).alias("d"))
+    recs = found.select("id", "lease_name", S.reconcile(F.col("f"), F.col("d"))[0].alias("permit"))
     return X.merge(recs, X.decode_registry(X.first_per_key(registry, "permit_no", "line_no")), "permit").select("id", "permit", "api_number", "lease_name")
 
 
@@ -183,3 +184,99 @@ def single_enrichment(files: DataFrame, registry: DataFrame) -> DataFrame:
     newest = files.agg(F.max("id").alias("id"))
     one = files.join(F.broadcast(newest), "id", "left_semi").select("id", S.normal_permit(S.digits_of(F.col("permit_number"))).alias("key"))
     return X.merge(one, X.decode_registry(X.first_per_key(registry, "permit_no", "line_no")), "key").select("id", F.coalesce("api_number", F.lit("no match")).alias("api_number"))
+
+
+# --- rules that the tables' own values do not show -------------------------------------------------------------
+
+
+@query("job_files", sql="""
+, f AS (SELECT id, size, CASE size % 3 WHEN 0 THEN filename WHEN 1 THEN filename || '.Gif' ELSE filename || '.exe' END AS name, CASE size % 4 WHEN 0 THEN 'image/webp' WHEN 1 THEN 'application/zip' WHEN 3 THEN 'text/plain' END AS mime FROM job_files)
+SELECT id, CASE WHEN NOT (coalesce(mime IN ('image/webp', 'text/plain'), false) OR regexp_matches(lower(name), '\\.(pdf|txt|docx?|png|jpe?g|gif|bmp|tiff?|webp)$')) THEN 'type' WHEN size > 52428800 THEN 'size' END AS reject_reason FROM f""")
+def upload_admission(files: DataFrame) -> DataFrame:
+    """The default rule: extension or content type."""
+    name = F.when(F.col("size") % 3 == 0, F.col("filename")).when(F.col("size") % 3 == 1, F.concat("filename", F.lit(".Gif"))).otherwise(F.concat("filename", F.lit(".exe")))
+    mime = F.when(F.col("size") % 4 == 0, "image/webp").when(F.col("size") % 4 == 1, "application/zip").when(F.col("size") % 4 == 3, "text/plain")
+    return L.admission(files.select("id", "size", name.alias("filename"), mime.alias("mime")), mime="mime").select("id", "reject_reason")
+
+
+ITEMS = {"type": "object", "properties": {"n": {"type": "integer", "enum": [1, 2, 3]}, "casing": {"type": "array", "items": {"type": "object", "additionalProperties": False, "required": ["size"], "properties": {"size": {"type": "number"}, "depth": {"type": ["integer", "null"]}}}}}}
+
+
+@query("job_files", sql="""
+SELECT id, concat_ws('; ', CASE WHEN page_count > 3 THEN '$.n: enum' END, CASE WHEN page_count = 3 THEN '$.casing[0].size: type; $.casing[0]: unknown zz' ELSE '$.casing[1].size: required' END, CASE WHEN page_count = 2 THEN '$.casing[2].depth: type' END) AS violations FROM job_files""")
+def record_item_conformance(files: DataFrame) -> DataFrame:
+    """Required keys, types and unknown keys inside array items, and an enum of numbers."""
+    n = F.col("page_count")
+    more = F.when(n == 2, ',{"size":1,"depth":"deep"}').otherwise("")
+    items = F.when(n == 3, '{"size":"x","zz":1}').otherwise(F.concat(F.lit('{"size":2.5,"depth":null},{"depth":1}'), more))
+    text = F.concat(F.lit('{"n":'), n.cast("string"), F.lit(',"casing":['), items, F.lit("]}"))
+    return files.select("id", text.alias("result")).select("id", F.array_join(R.violations("result", ITEMS), "; ").alias("violations"))
+
+
+@query("job_files", sql="""
+SELECT id, CASE size % 4 WHEN 0 THEN nullif(regexp_replace(permit_number, '[^0-9]', '', 'g'), '') WHEN 1 THEN '7' || size WHEN 2 THEN '12' END AS permit FROM job_files""")
+def record_permits(files: DataFrame) -> DataFrame:
+    """The permit of a JSON record: the first of its keys that is a string with digits."""
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    k = F.col("size") % 4
+    record = (
+        F.when(k == 0, text('{"wellPermit":"', F.coalesce("permit_number", F.lit("none")), '"}'))
+        .when(k == 1, text('{"permit_number":"none","permitNo":', F.col("size").cast("string"), ',"drilling_permit":"7-', F.col("size").cast("string"), '"}'))
+        .when(k == 2, F.lit('{"permit_id":"99","permit":"No. 12"}'))
+        .otherwise(F.lit('{"permit":5}'))
+    )
+    return files.select("id", S.permit_of_record(record).alias("permit"))
+
+
+@table_query("documents", sql="SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN '=== PAGE 1 ===' || chr(10) ELSE '' END AS feed FROM documents")
+def document_feed_bare(documents: DataFrame) -> DataFrame:
+    """Pages without blocks keep their heading; documents without pages have an empty feed."""
+    first = F.slice("doc.pages", 1, 1)
+    bare = F.transform(first, lambda p: p.withField("sourceBlocks", F.slice(p["sourceBlocks"], 1, 0)))
+    docs = _payload(documents).withColumn("doc", F.col("doc").withField("pages", F.when(F.col("doc_id") % 2 == 0, bare)))
+    return D.feed(D.block_rows(D.page_rows(docs)), blocked=True)
+
+
+@query("users", sql="SELECT id, 'new' AS a, CASE WHEN id % 2 = 0 THEN NULL ELSE 'old' END AS b, 'kept' AS c, 'added' AS d FROM users")
+def config_merge_sections(users: DataFrame) -> DataFrame:
+    """Sections are merged key by key; an incoming null wins."""
+    section = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)]).cast("map<string,string>")
+    old = F.create_map(F.lit("extraction"), section(a=F.lit("old"), b=F.lit("old")), F.lit("processing"), section(c=F.lit("kept")))
+    fresh = F.when(F.col("id") % 2 == 0, section(a=F.lit("new"), b=F.lit(None))).otherwise(section(a=F.lit("new")))
+    m = S.merge_config(old, F.create_map(F.lit("extraction"), fresh, F.lit("other"), section(d=F.lit("added"))))
+    return users.select("id", m["extraction"]["a"].alias("a"), m["extraction"]["b"].alias("b"), m["processing"]["c"].alias("c"), m["other"]["d"].alias("d"))
+
+
+@query("file_events", sql="""
+, f AS (SELECT job_id, file_id, arg_max(status, (ts, event_id)) AS status FROM file_events GROUP BY 1, 2), n AS (SELECT job_id, count(*) AS files, count(*) FILTER (WHERE status = 'completed') AS completed FROM f GROUP BY 1)
+SELECT job_id, files, completed, CASE WHEN files = completed THEN 'completed' WHEN completed > 0 THEN 'partial' ELSE 'failed' END AS job_status FROM n""")
+def job_states(events: DataFrame) -> DataFrame:
+    newest = events.groupBy("job_id", "file_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+    return flows.rollup_of(newest)
+
+
+@query("file_events", sql="""
+, w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) FILTER (WHERE status = 'pending') AS waiting, count(*) FILTER (WHERE status = 'processing') AS active, coalesce(avg(value * 1000) FILTER (WHERE status = 'pending'), 0) AS wait FROM file_events GROUP BY 1),
+s AS (SELECT *, greatest(0, 100 - CASE WHEN waiting > 100 THEN 20 WHEN waiting > 50 THEN 10 ELSE 0 END - CASE WHEN active > 10 THEN 15 WHEN active > 5 THEN 5 ELSE 0 END - CASE WHEN wait > 300000 THEN 25 WHEN wait > 60000 THEN 10 ELSE 0 END) AS score FROM w)
+SELECT window_start, waiting, active, CAST(score AS BIGINT) AS score, CASE WHEN score < 50 THEN 'critical' WHEN score < 75 THEN 'warning' ELSE 'healthy' END AS health FROM s""")
+def queue_waits(events: DataFrame) -> DataFrame:
+    """Queue health by mean wait, an event's value being its wait in seconds."""
+    m = flows.queue_metrics(events, wait_ms=F.col("value") * 1000)
+    return m.select("window_start", "waiting", "active", F.col("score").cast("long").alias("score"), "health")
+
+
+@query("file_events", sql="""
+, p AS (SELECT ts FROM file_events WHERE status = 'pending'), n AS (SELECT max(ts) AS t FROM file_events) SELECT count(*) AS waiting, CAST(sum(epoch_us(n.t) - epoch_us(p.ts)) // count(*) // 1000 AS BIGINT) AS mean_age_ms FROM p, n""")
+def queue_ages(events: DataFrame) -> DataFrame:
+    """Number and mean age of waiting items, as of the newest event."""
+    pending = F.when(F.col("status") == "pending", F.unix_micros(F.col("ts").cast("timestamp")))
+    sums = events.agg(F.count(pending).alias("waiting"), F.sum(pending).alias("s"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"))
+    return sums.select("waiting", F.expr("(t * waiting - s) div waiting div 1000").alias("mean_age_ms"))
+
+
+@query("users", sql="""
+SELECT id, CASE id % 3 WHEN 0 THEN '[{"text":"old"},{"user":' || id || ',"text":"ok"}]' ELSE '[{"user":' || id || ',"text":"ok"}]' END AS comments FROM users""")
+def commented(users: DataFrame) -> DataFrame:
+    """A comment appended to a JSON array; what is not an array gives way."""
+    old = F.when(F.col("id") % 3 == 0, '[{"text":"old"}]').when(F.col("id") % 3 == 1, "[ ]")
+    return users.select("id", M.append_comment(old, F.struct(F.col("id").alias("user"), F.lit("ok").alias("text"))).alias("comments"))

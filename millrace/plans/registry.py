@@ -203,8 +203,10 @@ def fallback_source(files: DataFrame) -> DataFrame:
 n AS (SELECT id, CASE WHEN f IS NOT NULL THEN coalesce(nullif(regexp_replace(f, '^0+', ''), ''), '0') END AS f, CASE WHEN d IS NOT NULL THEN coalesce(nullif(regexp_replace(d, '^0+', ''), ''), '0') END AS d FROM k)
 SELECT id, coalesce(f, d) AS permit, f IS NOT DISTINCT FROM d AS agrees FROM n""")
 def permit_reconciled(files: DataFrame) -> DataFrame:
-    permit, agrees = S.reconcile(S.permit_of_filename(F.col("filename")), S.first_with_digits([F.col("permit_number")]))
-    return files.select("id", permit.alias("permit"), agrees.alias("agrees"))
+    # Step by step, so that each pattern runs once a row.
+    found = files.select("id", S.permit_of_filename(F.col("filename")).alias("f"), S.first_with_digits([F.col("permit_number")]).alias("d"))
+    permit, agrees = S.reconcile(F.col("f"), F.col("d"))
+    return found.select("id", permit.alias("permit"), agrees.alias("agrees"))
 
 
 _REGISTRY = """

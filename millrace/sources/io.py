@@ -44,9 +44,23 @@ def append(df: DataFrame, path: str, defaults: dict[str, Column] | None = None)
     with_defaults(df, defaults or {}).write.mode("append").parquet(path)
 
 
-def write_curated(df: DataFrame, path: str, by: str = "job_id") -> None:
-    """The curated store, one folder per key; rows of a key are brought together first, so files stay few."""
-    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+def write_curated(df: DataFrame, path: str, by: str = "job_id", files_per_key: int = 1) -> None:
+    """The curated store, one folder per key.  Only the folders of keys in ``df`` are replaced; others stay.  Rows of a key are
+    brought together first, into some files per key, so a hot key can be written by several tasks."""
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != by]), F.lit(files_per_key)) if len(df.columns) > 1 else F.lit(0)
+    df.repartition(F.col(by), salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def merge_curated(spark: SparkSession, changes: DataFrame, path: str, keys: list[str], by: str = "job_id") -> None:
+    """Changes into the store by key: a changed row replaces the whole old one, nulls included; other rows stay.
+
+    Only the folders of changed keys are read and replaced.  They are written to the checkpoint folder first, as a folder
+    cannot be read and replaced in one job.
+    """
+    touched = changes.select(by).distinct()
+    old = spark.read.parquet(path)
+    kept = old.join(touched, by, "left_semi").join(changes.select(*keys), keys, "left_anti")
+    write_curated(kept.unionByName(changes, allowMissingColumns=True).checkpoint(), path, by)
 
 
 def publish(stream: DataFrame, path: str, checkpoint: str, key: str = "job_id"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -71,21 +72,20 @@ def stuck(stream: DataFrame, limit_ms: int, key: str = "file_id", ts: str = "ts"
     kind = dict(stream.dtypes)[key]
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # The state is the newest event's time and whether it is in processing, so a late event changes nothing.
         if state.hasTimedOut:
-            since = state.get[0]
+            since, waits = state.get
             state.remove()
-            yield pd.DataFrame({key: [k[0]], "since": [pd.Timestamp(since, unit="ms", tz="UTC")]})
+            if waits:
+                yield pd.DataFrame({key: [k[0]], "since": [pd.Timestamp(since, unit="ms", tz="UTC")]})
             return
-        events = pd.concat(list(batches)).sort_values(ts)
-        last = events.iloc[-1]
-        if last["status"] == "processing":
-            at = int(last[ts].value // 1_000_000)
-            state.update((at,))
-            state.setTimeoutTimestamp(max(at + limit_ms, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
+        last = pd.concat(list(batches)).sort_values(ts).iloc[-1]
+        at = int(last[ts].value // 1_000_000)
+        if not state.exists or at >= state.get[0]:
+            state.update((at, bool(last["status"] == "processing")))
+        state.setTimeoutTimestamp(max(state.get[0] + limit_ms, state.getCurrentWatermarkMs() + 1))
 
-    return event_time(stream, ts).withWatermark(ts, "1 minute").select(key, ts, "status").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, since timestamp", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+    return event_time(stream, ts).withWatermark(ts, "1 minute").select(key, ts, "status").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, since timestamp", "since long, waits boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stuck_batch(events: DataFrame, as_of: Column, limit: str, key: str = "file_id", ts: str = "ts") -> DataFrame:
@@ -99,12 +99,41 @@ def request_rate(events: DataFrame, key: str, limit: int, ts: str = "ts", width:
     return events.groupBy(w.alias("w"), key).agg(F.count("*").alias("requests")).filter(F.col("requests") > limit).select(F.col("w.start").alias("window_start"), key, "requests")
 
 
-def queue_metrics(events: DataFrame, ts: str = "ts", width: str = "1 hour") -> DataFrame:
-    """Per window: items waiting, in progress, mean value as wait, and the health of the queue."""
+def queue_metrics(events: DataFrame, ts: str = "ts", width: str = "1 hour", wait_ms: Column | None = None) -> DataFrame:
+    """Per window: items waiting, in progress, oldest and newest, and the health of the queue; wait_ms: what an event waited,
+    whose mean over the waiting ones counts for health (without it waits count as none)."""
     w = F.window(ts, width)
-    m = events.groupBy(w.alias("w")).agg(F.count_if(F.col("status") == "pending").alias("waiting"), F.count_if(F.col("status") == "processing").alias("active"), F.min(ts).alias("oldest"), F.max(ts).alias("newest"))
-    score, kind = queue_health(F.col("waiting"), F.col("active"), F.lit(0))
-    return m.select(F.col("w.start").alias("window_start"), "waiting", "active", "oldest", "newest", score.alias("score"), kind.alias("health"))
+    wait = F.lit(0) if wait_ms is None else F.coalesce(F.avg(F.when(F.col("status") == "pending", wait_ms)), F.lit(0.0))
+    m = events.groupBy(w.alias("w")).agg(F.count_if(F.col("status") == "pending").alias("waiting"), F.count_if(F.col("status") == "processing").alias("active"), F.min(ts).alias("oldest"), F.max(ts).alias("newest"), wait.alias("wait") if wait_ms is not None else F.max(F.lit(0)).alias("wait"))
+    score, kind = queue_health(F.col("waiting"), F.col("active"), F.col("wait"))
+    out = m.select(F.col("w.start").alias("window_start"), "waiting", "active", "oldest", "newest", "wait", score.alias("score"), kind.alias("health"))
+    return out.drop("wait") if wait_ms is None else out.withColumnRenamed("wait", "mean_wait_ms")
+
+
+def rollup_of(latest: DataFrame, job: str = "job_id") -> DataFrame:
+    """A job's state from its files' latest states: completed if all are, partial if some are, else failed."""
+    n = latest.groupBy(job).agg(F.count("*").alias("files"), F.count_if(F.col("status") == "completed").alias("completed"))
+    return n.withColumn("job_status", F.when(F.col("files") == F.col("completed"), "completed").when(F.col("completed") > 0, "partial").otherwise("failed"))
+
+
+def running_rollup(stream: DataFrame, states: str, rollups: str, checkpoint: str, key: str = "file_id", job: str = "job_id", ts: str = "ts", order: str = "event_id"):
+    """Job states that follow a stream of file events: each micro-batch folds the newest event of each file into the jobs it
+    touches, and only those jobs' folders are replaced.  A batch that is run again after a failure gives the same rows."""
+    from ..sources.io import write_curated
+
+    def fold(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(job, key, ts, order, "status")
+        try:
+            rows = spark.read.schema(rows.schema).parquet(states).join(rows.select(job).distinct(), job, "left_semi").select(*rows.columns).union(rows)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        newest = rows.groupBy(job, key).agg(F.max_by(F.struct(ts, order, "status"), F.struct(ts, order)).alias("r")).select(job, key, "r.*").checkpoint()
+        write_curated(newest, states, job)
+        write_curated(rollup_of(newest, job), rollups, job)
+
+    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def active_sessions(sessions: DataFrame, as_of: Column, expires: str = "expires_at", accepted: str | None = None) -> DataFrame:

@@ -78,3 +78,23 @@ def test_active_sessions(spark):
     as_of = F.to_timestamp(F.lit("2024-01-01"))
     assert [r["id"] for r in flows.active_sessions(s, as_of).orderBy("id").collect()] == [1, 3]
     assert [r["id"] for r in flows.active_sessions(s, as_of, accepted="accepted_at").collect()] == [1]
+
+
+def test_running_rollup_follows_the_batch_form(spark, folder, stream, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "k"))
+    flows.running_rollup(stream, str(tmp_path / "states"), str(tmp_path / "jobs"), str(tmp_path / "c")).awaitTermination()
+    newest = spark.read.parquet(folder).groupBy("job_id", "file_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+    columns = ["job_id", "files", "completed", "job_status"]
+    got = spark.read.parquet(str(tmp_path / "jobs")).select(F.col("job_id").cast(dict(newest.dtypes)["job_id"]), *columns[1:])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, flows.rollup_of(newest).select(*columns).collect()))
+
+
+def test_late_events_do_not_rearm(spark, tmp_path):
+    """A file that has finished is not reported, though an older event of it arrives in a later batch."""
+    at = lambda m: datetime(2024, 1, 1, tzinfo=UTC) + timedelta(minutes=m)
+    schema = "file_id string, ts timestamp, status string"
+    for k, rows in enumerate([[("f", at(2), "completed"), ("g", at(1), "processing")], [("f", at(1), "processing")], [("z", at(60), "completed")], [("z", at(90), "completed")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    flows.replay(flows.stuck(src, 300_000), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert [r["file_id"] for r in spark.read.schema("file_id string, since timestamp").parquet(str(tmp_path / "out")).collect()] == ["g"]
