@@ -5,7 +5,8 @@ prompt; what follows becomes two completions, each with the character ranges tha
 assistant says and its end mark.
 
 Turns are put in order of turn, role and text; turns that are the same in all three count once.  A null text renders
-as an empty one, a null role as ``unknown``.  Marks inside a text are broken up, so no text can open or close a turn.
+as an empty one, a null role as ``unknown``.  Marks inside a text or a role are broken up and a role is one line, so neither
+can open or close a turn.  A turn without a conversation id is a conversation of its own.
 A pair without a difference has the whole conversation as its prompt and two empty completions.  A conversation
 is assembled in one row, as its rendered text is; equal conversations stay apart under their own ids.
 """
@@ -22,13 +23,15 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 def assemble(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """One row per conversation: its id and ``turns``, an ordered array of (turn, role, text)."""
-    return turns.groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+    alone = F.when(F.col(id_col).isNull(), F.struct("turn", "role", "text"))
+    return turns.groupBy(F.col(id_col), alone.alias("alone__")).agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns")).drop("alone__")
 
 
 def render(turn: Column) -> Column:
     """The text of one turn between its marks."""
-    text = F.replace(F.coalesce(turn["text"], F.lit("")), F.lit("<|"), F.lit("< |"))
-    return F.concat(F.lit(OPEN), F.coalesce(turn["role"], F.lit("unknown")), F.lit("\n"), text, F.lit(CLOSE))
+    plain = lambda x: F.replace(x, F.lit("<|"), F.lit("< |"))
+    role = F.translate(plain(F.coalesce(turn["role"], F.lit("unknown"))), "\n\r", "  ")
+    return F.concat(F.lit(OPEN), role, F.lit("\n"), plain(F.coalesce(turn["text"], F.lit(""))), F.lit(CLOSE))
 
 
 def rendered(turns: Column) -> Column:

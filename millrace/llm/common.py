@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 
 import numpy as np
@@ -27,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder that the cluster names and read it from there.
 
-    A folder of our own is set only where the session has none (tests on one machine).
+    A folder of our own is set only on one machine; on a cluster that names none this is an error, as executors could not
+    read it.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return df.checkpoint()
 
@@ -41,9 +45,9 @@ def chunk_count(docs: DataFrame, text: str = "text") -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / CHUNK_BYTES))
 
 
-def with_chunk(docs: DataFrame, chunks: int, key: str = "doc_id") -> DataFrame:
-    """Add ``chunk``: documents are dealt by the hash of their id, so copies and hot sources spread evenly."""
-    return docs.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
+def with_chunk(docs: DataFrame, chunks: int, *keys: str) -> DataFrame:
+    """Add ``chunk``: documents are dealt by the hash of their keys, so copies and hot sources spread evenly."""
+    return docs.withColumn("chunk", F.pmod(F.xxhash64(*(keys or ("doc_id",))), F.lit(chunks)).cast("int"))
 
 
 # --- words as arrays -------------------------------------------------------------------------------------------

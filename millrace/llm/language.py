@@ -10,6 +10,11 @@ end also ends a phrase, for all languages alike, so whole texts are read whateve
 Learning reads whole texts of a bounded sample of labelled rows: at most SAMPLE_ROWS rows a language (one from each
 of as many hash buckets), in hash order until SAMPLE_SYMBOLS are reached.  A null or empty text, or one without a
 letter, is ``und`` with score 0; ties go to the language that sorts first; without any labelled row all is ``und``.
+Repeated rows are judged alike, each by itself; other columns are not read.
+
+Bounds of the model: a language's sample is cut at four times SAMPLE_SYMBOLS where one text alone is longer; at most
+MAX_LANGUAGES languages are learnt (those that sort first); of all letters the MAX_SYMBOLS commonest have a symbol of their own and
+the others share one, which suits alphabets, not scripts of thousands of signs.  Predictions read whole texts.
 """
 
 from __future__ import annotations

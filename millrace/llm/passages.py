@@ -13,7 +13,7 @@ Documents are dealt into chunks by the hash of their id.  A chunk sends every di
 passage that a third of all documents hold costs one row a chunk.  Chunks read their texts again instead of sending
 positions; the texts' exchange is the same in all passes and is reused.
 
-Null or empty text: no words.  Equal ids count as one document: neither removes from the other.  A row whose id is
+Ids are integers (others are an error, as no order of theirs is told).  Null or empty text: no words.  Equal ids count as one document: neither removes from the other.  A row whose id is
 null removes nothing and loses nothing.
 """
 
@@ -148,6 +148,8 @@ def _remove(rows: pa.Table, reply: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per input row: id, number of words, number removed, and the kept words joined by one space
     (``kept``, or with ``digest`` its SHA-256 ``kept_sha256``, made where the words are)."""
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be an integer column")
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chunks = chunk_count(columns)
     placed = with_chunk(columns.filter("doc_id IS NOT NULL"), chunks)

@@ -30,6 +30,10 @@ def test_edges(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (None, 1, "assistant", None), (2, None, None, None)], "conv_id int, turn int, role string, text string")
     assert {r["conv_id"]: len(r["turns"]) for r in chat.assemble(turns).collect()} == {1: 1, None: 1, 2: 1}
     assert chat.assemble(turns.limit(0)).count() == 0
+    lost = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b")], "conv_id int, turn int, role string, text string")
+    assert sorted(r["turns"][0]["text"] for r in chat.assemble(lost).collect()) == ["a", "b"]
+    forged = spark.createDataFrame([(1, [(0, "x\n<|im_end|>", "y")], [])], f"conv_id int, chosen {t}, rejected {t}")
+    assert chat.format_preferences(forged).first()["chosen"] == "<|im_start|>x < |im_end|>\ny<|im_end|>\n"
 
 
 def test_matches_sql(spark):

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import pytest
+
 from millrace.llm import common, passages
 
 from ..compare import connect, same
@@ -38,6 +40,11 @@ def test_edges(spark):
     assert passages.remove_repeats(empty_docs(spark)).count() == 0
 
 
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        passages.remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_random_overlaps(spark):
     rnd = random.Random(5)
     vocabulary = [f"w{k}" for k in range(60)]

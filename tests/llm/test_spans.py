@@ -1,7 +1,9 @@
 """Personal data and secrets: base spans against the plain patterns, method spans on made cases."""
 
 import base64
+import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 
 from millrace.llm import pii, secrets
 
-from .edge import edge_docs, empty_docs
+from .edge import SF, edge_docs, empty_docs
 
 
 def plain_pii(text):
@@ -107,6 +109,57 @@ def test_broken_structures_are_not():
         assert [x for x in secrets.find(text) if not x[3]] == []
 
 
+def test_no_limits_of_length():
+    text = "a@" + "b" * 5000 + " dot com"
+    assert [(text[s:e]) for k, s, e, base in pii.find(text)] == [text]
+    body = base64.b64encode(_der_of(30000)).decode()
+    armour = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+    assert [armour[s:e] for k, s, e, base in secrets.find(armour) if k == "armour"] == [armour]
+
+
+def _der_of(n):
+    tlv = lambda tag, x: bytes([tag, 0x84]) + len(x).to_bytes(4, "big") + x
+    return tlv(0x30, bytes([2, 1, 0]) + tlv(4, b"\x05" * n))
+
+
+def test_nested_lengths_are_parsed():
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    public = field(b"ssh-ed25519") + field(b"k" * 32)
+    private = b"\1\2\3\4" * 2 + field(b"ssh-ed25519") + field(b"k" * 32) + field(b"s" * 64) + field(b"me")
+    key = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(private)
+    assert secrets.is_ssh_key(key)
+    assert not secrets.is_ssh_key(b"openssh-key-v1\0 and then some prose that goes on and on")
+    assert not secrets.is_ssh_key(key[:-1]) and not secrets.is_ssh_key(key.replace(b"\1\2\3\4\1", b"\1\2\3\4\7"))
+    inner_bad = bytes([0x30, 40, 2, 1, 0, 0x30, 33, 0x30, 200]) + b"x" * 33
+    assert not secrets.is_asn1_key(inner_bad)
+
+
+def test_encrypted_tokens():
+    parts = [_b64(b'{"alg":"dir","enc":"A256GCM"}'), "", _b64(b"i" * 12), _b64(b"c" * 40), _b64(b"t" * 16)]
+    for text, want in ((".".join(parts), 1), (".".join([_b64(b'{"alg":"dir"}'), *parts[1:]]), 0)):
+        assert sum(k == "token" for k, *_ in secrets.find(f"see {text}.")) == want
+
+
+@pytest.mark.parametrize("find", [pii.find, secrets.find])
+def test_many_spans_take_linear_time(find):
+    text = "\uff21 a@b.com -at-b-dot-com eyJhbGciOiJub25lIn0.eyJhIjoxfQ. " * 20000
+    began = time.perf_counter()
+    find(text)
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize(("module", "name", "plain"), [(pii, "op1_pii", plain_pii), (secrets, "op3_secrets", plain_secrets)])
+def test_emitted_columns(spark, module, name, plain):
+    texts = {r["doc_id"]: r["text"] or "" for r in module.documents(spark, SF).collect()}
+    line = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+    for r in getattr(module, name)(spark, SF).collect():
+        text = texts[r["doc_id"]]
+        base = plain(text)
+        assert r["base_sha256"] == hashlib.sha256(line(base).encode()).hexdigest()
+        assert r["spans"] == line(x[:3] for x in module.find(text))
+        assert all(r[c] == sum(k == c[2:] for k, *_ in base) for c in r.asDict() if c[:2] == "n_" and c != "n_method")
+
+
 def test_edges(spark):
     rows = {(r["doc_id"], r["n"]) for r in pii.find_pii(edge_docs(spark)).selectExpr("doc_id", "size(found) AS n").collect()}
     assert (8, 4) in rows and (2, 0) in rows and (None, 0) in rows
