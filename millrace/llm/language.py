@@ -149,7 +149,7 @@ class Model:
                 extra[dead] = alone
                 count[:, :active] += extra
             state[:, :active] = to
-        return count
+        return count - (state == roots[:, None])  # at a root no phrase has begun
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text and, as its score, by how much the second best needs more phrases."""
