@@ -6,13 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_METRES = 6371000.0
-#: Content types by extension; anything else is a stream of bytes.
+#: Content types by extension; anything else is a stream of bytes.  The patterns of slugs, titles and
+#: sanitised texts below are fixed values too: their results are compared as strings.
 CONTENT_TYPES = {
     ".pdf": "application/pdf",
     ".txt": "text/plain",
     ".doc": "application/msword",
     ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
 }
+#: Roles by rising rank.
 ROLES = ("viewer", "member", "admin", "owner")
 
 

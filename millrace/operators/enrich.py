@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import first_truthy, haversine, lenient_number, well_number
 
-#: Codes of the registry and what they mean.
+#: Codes of the registry and what they mean.
 DATUMS = {"K": "Kelly Bushing", "G": "Ground", "R": "Rotary Table", "D": "Drill Floor"}
 SLANTS = {"H": "Horizontal", "D": "Deviated", "V": "Straight"}
 WELL_TYPES = {
@@ -17,7 +17,7 @@ WELL_TYPES = {
     "LOC": "Location", "LPG": "LPG", "MSM": "Min", "WIW": "Water Injection", "GSO": "Gas Storage", "MDW": "Mineral", "GS": "Gas Storage",
     "GIW": "Gas Injection", "LHL": "Lost Hole", "OTH": "Other", "OBS": "Observation",
 }
-#: Land-use classes by tag value.
+#: Land-use classes by tag value.
 LAND_USE = {
     "residential": "Residential", "commercial": "Commercial", "retail": "Commercial", "industrial": "Industrial", "railway": "Transportation",
     "road": "Transportation", "construction": "Industrial", "farmland": "Agricultural", "farmyard": "Agricultural", "orchard": "Agricultural",
@@ -29,7 +29,7 @@ LAND_USE = {
     "residential_building": "Residential", "commercial_building": "Commercial", "apartments": "Residential", "house": "Residential",
     "warehouse": "Industrial", "highway": "Transportation", "aeroway": "Transportation", "parking": "Transportation",
 }
-#: Words anywhere in the tags that decide where no tag value does, in this order.
+#: Words anywhere in the tags that decide where no tag value does, in this order.
 LAND_USE_WORDS = (
     ("retail|shop", "Commercial"),
     ("rail|transit|transport", "Transportation"),
@@ -39,7 +39,7 @@ LAND_USE_WORDS = (
     ("nature_reserve|protected", "Protected"),
 )
 UNKNOWN = "Unknown"
-#: Fields that the registry always sets, and those that it fills only where the record has nothing.
+#: Fields that the registry always sets, and those that it fills only where the record has nothing.
 OVERWRITTEN = {"api_number": "string", "latitude": "double", "longitude": "double", "land_use_type": "string"}
 FILLED = {
     "lease_name": "string", "well_number": "string", "elevation": "double", "elevation_datum": "string", "well_type": "string", "status": "string",
