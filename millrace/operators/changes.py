@@ -45,11 +45,15 @@ def verification_update(files: DataFrame, updates: DataFrame, flags: tuple[str,
     return out.withColumns({f: F.coalesce(f"n__{f}", f) for f in flags}).select(*files.columns)
 
 
-def partial_update(snapshot: DataFrame, changes: DataFrame, keys: list[str], allowed: list[str]) -> DataFrame:
-    """Only allowed columns change, and only where the change has a value."""
+def partial_update(snapshot: DataFrame, changes: DataFrame, keys: list[str], allowed: list[str], present: str | None = None) -> DataFrame:
+    """Only allowed columns change, and only where the change has a value; present: a column of changes that lists the
+    columns that a change gives, each of which is then taken as it is, null too."""
     given = [c for c in allowed if c in changes.columns]
-    u = last_change(changes.select(*keys, *given), keys, None).select(*keys, *[F.col(c).alias(f"n__{c}") for c in given])
-    return snapshot.join(u, keys, "left").withColumns({c: F.coalesce(f"n__{c}", c) for c in given}).select(*snapshot.columns)
+    flags = [present] if present else []
+    u = last_change(changes.select(*keys, *given, *flags), keys, None)
+    u = u.select(*keys, *[F.col(c).alias(f"n__{c}") for c in given], *[F.col(c).alias("present__") for c in flags])
+    taken = lambda c: F.when(F.array_contains("present__", c), F.col(f"n__{c}")).otherwise(F.col(c)) if present else F.coalesce(f"n__{c}", c)
+    return snapshot.join(u, keys, "left").withColumns({c: taken(c) for c in given}).select(*snapshot.columns)
 
 
 def delete_rows(snapshot: DataFrame, keys: DataFrame, on: str) -> DataFrame:

@@ -67,14 +67,17 @@ def job_listing(jobs: DataFrame, files: DataFrame, memberships: DataFrame, user_
     return shown.join(counts, "job_id", "left").withColumn("file_count", F.coalesce("file_count", F.lit(0)))
 
 
-def previews_by_file(files: DataFrame, previews: DataFrame) -> DataFrame:
-    """Files with the ids of the previews that list them, each once however often it lists them.
+def previews_by_file(files: DataFrame, previews: DataFrame, details: tuple[str, ...] = ()) -> DataFrame:
+    """Files with the ids of the previews that list them, each once however often it lists them, in order of ids; with
+    details, columns of previews, structs of the id and these.
 
-    previews: (preview_id, items array).  The arrays are exploded and joined by id, so no row is compared with all arrays.
+    previews: (preview_id, items array, details).  The arrays are exploded and joined by id, so no row is compared with all
+    arrays.
     """
-    links = previews.select("preview_id", F.explode(F.array_distinct("items")).alias("id"))
-    listed = links.groupBy("id").agg(F.array_sort(F.collect_list("preview_id")).alias("previews"))
-    return files.join(listed, "id", "left").withColumn("previews", F.coalesce("previews", F.array().cast("array<bigint>")))
+    shown = F.struct("preview_id", *details) if details else F.col("preview_id")
+    links = previews.select(shown.alias("shown"), F.explode(F.array_distinct("items")).alias("id"))
+    listed = links.groupBy("id").agg(F.array_sort(F.collect_list("shown")).alias("previews"))
+    return files.join(listed, "id", "left").withColumn("previews", F.coalesce("previews", F.array().cast(listed.schema["previews"].dataType)))
 
 
 def with_inviter(users: DataFrame) -> DataFrame:

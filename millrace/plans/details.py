@@ -280,3 +280,25 @@ def commented(users: DataFrame) -> DataFrame:
     """A comment appended to a JSON array; what is not an array gives way."""
     old = F.when(F.col("id") % 3 == 0, '[{"text":"old"}]').when(F.col("id") % 3 == 1, "[ ]")
     return users.select("id", M.append_comment(old, F.struct(F.col("id").alias("user"), F.lit("ok").alias("text"))).alias("comments"))
+
+
+@query("job_files", "preview_items", sql="""
+, l AS (SELECT DISTINCT file_id, preview_id FROM preview_items),
+g AS (SELECT file_id, string_agg(preview_id || ':Preview ' || preview_id || ':' || (20000 + preview_id), ',' ORDER BY preview_id) AS p FROM l GROUP BY 1)
+SELECT f.id, coalesce(g.p, '') AS previews FROM job_files f LEFT JOIN g ON g.file_id = f.id""")
+def file_preview_details(files: DataFrame, items: DataFrame) -> DataFrame:
+    """Each file's previews as records of id, name and time of creation."""
+    previews = _arrays(items).withColumn("name", F.concat(F.lit("Preview "), F.col("preview_id").cast("string"))).withColumn("created_at", F.col("preview_id") + 20000)
+    rows = L.previews_by_file(files.select("id"), previews, ("name", "created_at"))
+    shown = F.transform("previews", lambda p: F.concat_ws(":", p["preview_id"].cast("string"), p["name"], p["created_at"].cast("string")))
+    return rows.select("id", F.array_join(shown, ",").alias("previews"))
+
+
+@query("job_files", sql="""
+SELECT id, CASE page_count WHEN 1 THEN NULL WHEN 2 THEN 'done' ELSE review_status END AS review_status, CASE page_count WHEN 2 THEN NULL ELSE size END AS size FROM job_files""")
+def presence_updates(files: DataFrame) -> DataFrame:
+    """A change sets what it lists, null too, and leaves the rest."""
+    n = F.col("page_count")
+    listed = F.when(n == 1, F.array(F.lit("review_status"))).when(n == 2, F.array(F.lit("review_status"), F.lit("size"))).otherwise(F.array().cast("array<string>"))
+    changes = files.select("id", F.when(n == 2, "done").alias("review_status"), F.lit(None).cast("bigint").alias("size"), listed.alias("given"))
+    return M.partial_update(files.select("id", "review_status", "size"), changes, ["id"], ["review_status", "size"], "given")
