@@ -568,8 +568,13 @@ def encode_documents(docs: DataFrame, model: str = MODEL, text: str = "text") ->
 
 
 def decode_documents(docs: DataFrame, model: str = MODEL, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
-    """The input with the text that the ids stand for."""
-    return docs.withColumn(to, decoder(read_model(model))(F.col(ids)))
+    """The input with the text that the ids stand for.
+
+    The condition keeps the ids' own function, if they come from one, out of this one's batch: called from within, it
+    would run twice, once for the ids and once for the text.
+    """
+    there = F.when(F.col(ids).isNotNull(), F.col(ids))
+    return docs.withColumn(to, decoder(read_model(model))(there))
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
