@@ -38,10 +38,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words that each of the two generations of a worker's memo holds, and pairs in the memo of pairs.
-MEMO, PAIRS = 300_000, 400_000
+MEMO, PAIRS = 150_000, 400_000
 #: Bytes of text that are encoded and ids that are decoded at a time.
-BATCH = 8 << 20
-DECODED = 20_000_000
+BATCH = 4 << 20
+DECODED = 2_000_000
 #: Longest part that is remembered, and searched best first.
 SHORT = 64
 #: Weight of a pair that merging would not leave, where no path does without.
@@ -517,16 +517,27 @@ class Decoder:
         return self.decode_lists(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
-_MADE: dict[bytes, tuple[Encoder, Decoder]] = {}
+_ENCODERS: dict[bytes, Encoder] = {}
+_DECODERS: dict[bytes, Decoder] = {}
 
 
-def compiled(data: bytes) -> tuple[Encoder, Decoder]:
-    """One encoder and decoder per worker and model."""
-    if data not in _MADE:
-        model = Model.parse(data)
-        _MADE[data] = Encoder(model), Decoder(model)
+def encoder_of(data: bytes) -> Encoder:
+    """One encoder per worker and model."""
+    if data not in _ENCODERS:
+        _ENCODERS[data] = Encoder(Model.parse(data))
         gc.freeze()  # the tables stay: no need to walk them at every collection
-    return _MADE[data]
+    return _ENCODERS[data]
+
+
+def decoder_of(data: bytes) -> Decoder:
+    """One decoder per worker and model; it needs none of the encoder's tables."""
+    if data not in _DECODERS:
+        _DECODERS[data] = Decoder(Model.parse(data))
+    return _DECODERS[data]
+
+
+def compiled(data: bytes) -> tuple[Encoder, Decoder]:
+    return encoder_of(data), decoder_of(data)
 
 
 def read_model(path: str = MODEL) -> bytes:
@@ -547,7 +558,7 @@ def encoder(data: bytes):
 
     @arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
-        return compiled(data)[0].encode_column(text)
+        return encoder_of(data).encode_column(text)
 
     return encode
 
@@ -557,7 +568,7 @@ def decoder(data: bytes):
 
     @arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        return compiled(data)[1].decode_lists(ids)
+        return decoder_of(data).decode_lists(ids)
 
     return decode
 
