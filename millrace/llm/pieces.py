@@ -38,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words that each of the two generations of a worker's memo holds, and pairs in the memo of pairs.
-MEMO, PAIRS = 150_000, 400_000
+MEMO, PAIRS = 60_000, 200_000
 #: Bytes of text that are encoded and ids that are decoded at a time.
 BATCH = 4 << 20
 DECODED = 2_000_000
