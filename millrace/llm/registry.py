@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, chat, decontaminate, forest, language, oracles, passages, perplexity, pieces, pii, quality, secrets, simhash
+from . import alignment, chat, decontaminate, forest, language, oracles, passages, perplexity, pieces, pii, quality, ranked, secrets, simhash
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_chat": chat.op9_chat,
     "op10_simhash": simhash.op10_simhash,
+    "op11_ranked": ranked.op11_ranked,
     "op12_forest": forest.op12_forest,
     "op13_alignment": alignment.op13_alignment,
 }
 #: The others are held against brute-force versions in tests/llm.
-ORACLES: dict[str, str] = {"op4_passages": passages.ORACLE, "op5_decontaminate": oracles.leaks(), "op8_quality": oracles.quality(), "op9_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op4_passages": passages.ORACLE, "op5_decontaminate": oracles.leaks(), "op8_quality": oracles.quality(), "op9_chat": chat.ORACLE, "op11_ranked": ranked.ORACLE}
