@@ -27,7 +27,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 import tokenizers
@@ -43,8 +42,6 @@ CHUNK_BYTES = 8 << 20
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE, _BLANKS = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s{5000}")
-#: Bytes of text encoded together.
-BATCH_BYTES = 8 << 20
 _SUMS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -79,23 +76,25 @@ class Pair:
         crossing = any(re.search("[^▁]▁", t) for t in self.b.id_to_piece(list(range(self.b.get_piece_size()))))
         self.split = (lambda text: [text]) if crossing else _SPACE.split
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both for each text, or None where they do not give back its bytes.
+    def parts(self, texts: list[str]) -> tuple[list[list[int] | None], Ragged, Ragged]:
+        """Each text as places of its parts, and the ids of both for every part that gives back its bytes.
 
-        A single space between other characters starts a token of both, so the parts between are encoded once each.
+        A single space between other characters starts a token of both, so that the parts between are encoded once each.
+        A text without a part, or with one that does not give back its bytes, has no places.
         """
         places: dict[str, int] = {}
-        parts = [[places.setdefault(w, len(places)) for w in (self.split(t) if t else ())] for t in texts]
+        told: list[list[int] | None] = [[places.setdefault(w, len(places)) for w in (self.split(t) if t else ())] or None for t in texts]
         words = list(places)
         ids_a = [self.letters(w) for w in words]
         ids_b = self.b.encode(words, num_threads=1) if words else []
-        of_a, of_b = Ragged(ids_a), Ragged(ids_b)
+        of_a, of_b = Ragged.of(ids_a), Ragged.of(ids_b)
         same = self.given_back(words, ids_a, ids_b, of_a, of_b)
-        out: list[tuple[np.ndarray, np.ndarray] | None] = []
-        for part in parts:
-            at = np.array(part, np.int64)
-            out.append((of_a(at), of_b(at)) if len(at) and same[at].all() else None)
-        return out
+        if not same.all():
+            bad, good = set(np.flatnonzero(~same).tolist()), np.flatnonzero(same).tolist()
+            moved = (np.cumsum(same) - 1).tolist()
+            told = [None if at is None or not bad.isdisjoint(at) else [moved[k] for k in at] for at in told]
+            of_a, of_b = Ragged.of([ids_a[k] for k in good]), Ragged.of([ids_b[k] for k in good])
+        return told, of_a, of_b
 
     def given_back(self, words: list[str], ids_a, ids_b, of_a: Ragged, of_b: Ragged) -> np.ndarray:
         """Of each part, whether both sides' bytes are a space and the part."""
@@ -123,10 +122,12 @@ class Pair:
 class Ragged:
     """Lists of ids as one array."""
 
-    def __init__(self, lists: list[list[int]]):
-        self.sizes = np.array([len(x) for x in lists], np.int64)
-        self.flat = np.array(list(itertools.chain.from_iterable(lists)), np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+    def __init__(self, sizes: np.ndarray, flat: np.ndarray):
+        self.sizes, self.flat, self.starts = sizes, flat, np.cumsum(sizes) - sizes
+
+    @classmethod
+    def of(cls, lists: list[list[int]]) -> Ragged:
+        return cls(np.array([len(x) for x in lists], np.int64), np.array(list(itertools.chain.from_iterable(lists)), np.int64))
 
     def __call__(self, at: np.ndarray) -> np.ndarray:
         """The lists at the given places, joined."""
@@ -197,12 +198,39 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return x[keep], y[keep]
 
 
-def written(p: Pair, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> bytes:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group in order."""
-    last = lambda g: np.append(g[1:] != g[:-1], True).astype(np.int64)
-    codes = np.concatenate([a + p.base[last(group_a)], b + p.base[2 + last(group_b)]])
+def written(p: Pair, a: Ragged, b: Ragged, group_a: np.ndarray, group_b: np.ndarray) -> list[str]:
+    """``a1,a2|b1;a3|b2,b3;`` for each part: the ids of its groups in order."""
+    last = lambda g: np.append(g[1:] != g[:-1], True).astype(np.int64) if len(g) else g
+    codes = np.concatenate([a.flat + p.base[last(group_a)], b.flat + p.base[2 + last(group_b)]])
     order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-    return "".join(map(p.written.__getitem__, codes[order].tolist())).encode()[:-1]
+    tokens = list(map(p.written.__getitem__, codes[order].tolist()))
+    ends = np.cumsum(a.sizes + b.sizes).tolist()
+    return ["".join(tokens[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
+
+
+def aligned(p: Pair, texts: list[str]) -> list[tuple[int, int, int, int, str, np.ndarray]]:
+    """Of each text: tokens of a and of b, groups, links, the hash of its groups, and the links as pairs of ids.
+
+    The different parts of all texts are aligned as one pair of arrays, whose ends meet at every part's end; a text's
+    groups are those of its parts in order.
+    """
+    told, a, b = p.parts(texts)
+    ends_a, ends_b = np.cumsum(p.size_a[a.flat]), np.cumsum(p.size_b[b.flat])
+    group_a, group_b = groups(ends_a, ends_b)
+    x, y = links(ends_a, ends_b)
+    part = np.repeat(np.arange(len(a.sizes)), a.sizes)
+    of_links = Ragged(np.bincount(part[x], minlength=len(a.sizes)), a.flat[x] << 32 | b.flat[y])
+    n_groups = np.diff(group_a[np.cumsum(a.sizes) - 1], prepend=-1)
+    strings = written(p, a, b, group_a, group_b)
+    out = []
+    for places in told:
+        if places is None:
+            out.append((0, 0, 0, 0, "", of_links.flat[:0]))
+            continue
+        at = np.array(places, np.int64)
+        digest = hashlib.sha256("".join(map(strings.__getitem__, places)).encode()[:-1]).hexdigest()
+        out.append((int(a.sizes[at].sum()), int(b.sizes[at].sum()), int(n_groups[at].sum()), int(of_links.sizes[at].sum()), digest, of_links(at)))
+    return out
 
 
 def packed(codes: np.ndarray, counts: np.ndarray) -> bytes:
@@ -223,48 +251,36 @@ _ROW = "chunk string, id long, n_a long, n_b long, n_groups long, n_links long,
 def _aligned(file_a: str, file_b: str):
     """For each document a row with its figures and its links as places among the chunk's pairs; for each pair of a chunk a row."""
 
-    def emit(chunk: str, docs: list[tuple], flat: list[np.ndarray]):
-        sizes = np.array([len(x) for x in flat], np.int64)
-        whole = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-        pairs, place = np.unique(whole, return_inverse=True)
-        owner = np.repeat(np.arange(len(flat)), sizes)
-        own, times = np.unique(owner * max(1, len(pairs)) + place, return_counts=True)
-        cuts = np.searchsorted(own, np.arange(len(flat) + 1) * max(1, len(pairs)))
-        blobs = [packed(own[s:e] % max(1, len(pairs)), times[s:e]) if e > s else None for s, e in zip(cuts, cuts[1:], strict=False)]
-        columns = list(zip(*docs, strict=True))
+    def emit(chunk: str, ids: list, found: list[tuple]):
+        flat = [x[5] for x in found]
+        pairs, place = np.unique(np.concatenate(flat), return_inverse=True)
+        owner, base = np.repeat(np.arange(len(flat)), [len(x) for x in flat]), max(1, len(pairs))
+        own, times = np.unique(owner * base + place, return_counts=True)
+        cuts = np.searchsorted(own, np.arange(len(flat) + 1) * base)
+        blobs = [packed(own[s:e] % base, times[s:e]) if e > s else None for s, e in zip(cuts, cuts[1:], strict=False)]
         text, number = (lambda x: pa.array(x, pa.string())), (lambda x: pa.array(x, pa.int64()))
-        n, none = len(docs), pa.nulls
-        yield pa.record_batch([text([chunk] * n), *map(number, columns[:5]), text(columns[5]), pa.array(blobs, pa.binary()), none(n, pa.int64()), none(n, pa.int64())], _ROW_NAMES)
-        m = len(pairs)
-        yield pa.record_batch([text([chunk] * m), *(none(m, pa.int64()) for _ in range(5)), none(m, pa.string()), none(m, pa.binary()), pa.array(pairs), pa.array(np.bincount(place, minlength=m).astype(np.int64))], _ROW_NAMES)
+        n, m, none = len(ids), len(pairs), pa.nulls
+        columns = list(zip(*(x[:5] for x in found), strict=True))
+        yield pa.record_batch([text([chunk] * n), number(ids), *map(number, columns[:4]), text(columns[4]), pa.array(blobs, pa.binary()), none(n, pa.int64()), none(n, pa.int64())], _ROW_NAMES)
+        yield pa.record_batch([text([chunk] * m), *(none(m, pa.int64()) for _ in range(5)), none(m, pa.string()), none(m, pa.binary()), number(pairs), number(np.bincount(place, minlength=m).astype(np.int64))], _ROW_NAMES)
 
-    def run(batches):
-        p = pair(file_a, file_b)
-        part, number = TaskContext.get().partitionId(), 0
-        docs, flat, held = [], [], 0
+    def chunks(batches):
+        ids, texts, held = [], [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("")
-            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // BATCH_BYTES
-            for first, end in zip(cuts := [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(ids)], cuts[1:], strict=False):
-                some = texts.slice(first, end - first).to_pylist()
-                for key, text, both in zip(ids[first:end], some, p.encode(some), strict=True):
-                    if both is None:
-                        docs.append((key, 0, 0, 0, 0, ""))
-                        flat.append(np.zeros(0, np.int64))
-                    else:
-                        a, b = both
-                        ends_a, ends_b = np.cumsum(p.size_a[a]), np.cumsum(p.size_b[b])
-                        group_a, group_b = groups(ends_a, ends_b)
-                        x, y = links(ends_a, ends_b)
-                        digest = hashlib.sha256(written(p, a, b, group_a, group_b)).hexdigest()
-                        docs.append((key, len(a), len(b), int(group_a[-1]) + 1, len(x), digest))
-                        flat.append(a[x] << 32 | b[y])
-                    held += len(text)
-                    if held >= CHUNK_BYTES:
-                        yield from emit(f"{part}-{number}", docs, flat)
-                        docs, flat, held, number = [], [], 0, number + 1
-        if docs:
-            yield from emit(f"{part}-{number}", docs, flat)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(key)
+                texts.append(text.as_py() or "")
+                held += len(texts[-1])
+                if held >= CHUNK_BYTES:
+                    yield ids, texts
+                    ids, texts, held = [], [], 0
+        if ids:
+            yield ids, texts
+
+    def run(batches):
+        p, part = pair(file_a, file_b), TaskContext.get().partitionId()
+        for number, (ids, texts) in enumerate(chunks(batches)):
+            yield from emit(f"{part}-{number}", ids, aligned(p, texts))
 
     return run
 

@@ -90,7 +90,8 @@ class Shard:
         self.ids, sizes, self.docs = row["ids"], row["sizes"], row["docs"]
         m = 100 - LENGTH_SHARE + (LENGTH_SHARE * sizes * total) // words
         times = row["times"].astype(np.int64)
-        starts, ends = row["starts"], np.append(row["starts"][1:], len(times))
+        starts = row["starts"]
+        ends = np.append(starts, len(times))[1:]
         self.span = dict(zip(row["terms"].tolist(), zip(starts.tolist(), ends.tolist(), strict=True), strict=True))
         self.adds = np.repeat(weight[row["terms"]], ends - starts) * ((PART_SCALE * times) // (1000 * times + 8 * m[self.docs]))
         self.most = dict(zip(row["terms"].tolist(), np.maximum.reduceat(self.adds, starts).tolist() if len(starts) else [], strict=True))

@@ -99,7 +99,6 @@ def test_edges(spark, libraries):
 
 def test_chunks_do_not_matter(spark, libraries, monkeypatch):
     monkeypatch.setattr(al, "CHUNK_BYTES", 3000)
-    monkeypatch.setattr(al, "BATCH_BYTES", 2000)
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).repartition(3)
     assert got(al.align(docs)) == brute(libraries, [(r["doc_id"], r["text"]) for r in docs.collect()])
 
