@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import terminal_time
+
 
 def last_change(changes: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     """One change per key: the last by an order, else the greatest row."""
@@ -45,6 +47,16 @@ def verification_update(files: DataFrame, updates: DataFrame, flags: tuple[str,
     return out.withColumns({f: F.coalesce(f"n__{f}", f) for f in flags}).select(*files.columns)
 
 
+def fold_results(events: DataFrame, key: str, order: list[str], content: list[str], result: str = "result", status: str = "status", ts: str = "ts") -> DataFrame:
+    """Per key its newest event as a whole: status and all content columns, nulls included.  processed_at is that event's time
+    if it ends the work; actual_result is the first result that a completed event brought, whatever came after."""
+    newest = F.max_by(F.struct(status, *content, *order), F.struct(*order))
+    brought = (F.col(status) == "completed") & F.col(result).isNotNull()
+    first = F.min_by(result, F.when(brought, F.struct(*order)))
+    folded = events.groupBy(key).agg(newest.alias("r__"), first.alias("actual_result")).select(key, "r__.*", "actual_result")
+    return folded.withColumn("processed_at", terminal_time(F.col(status), F.col(ts)))
+
+
 def partial_update(snapshot: DataFrame, changes: DataFrame, keys: list[str], allowed: list[str], present: str | None = None) -> DataFrame:
     """Only allowed columns change, and only where the change has a value; present: a column of changes that lists the
     columns that a change gives, each of which is then taken as it is, null too."""
@@ -145,8 +157,24 @@ def constraint_report(checks: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def append_comments(rows: DataFrame, comments: DataFrame, key: str, column: str, order: list[str]) -> DataFrame:
+    """JSON arrays with the comments of their key behind them, in order; what is not an array as a whole gives way to a new
+    one.  comments: (key, order columns, and the comment's own fields)."""
+    fields = [c for c in comments.columns if c not in (key, *order)]
+    item = F.struct(F.struct(*order).alias("o"), F.to_json(F.struct(*fields)).alias("text"))
+    add = comments.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]).alias("add__"))
+    return rows.join(add, key, "left").withColumn(column, F.when(F.col("add__").isNotNull(), appended(F.col(column), F.col("add__"))).otherwise(F.col(column))).select(*rows.columns)
+
+
+def appended(comments: Column, texts: Column) -> Column:
+    """A JSON array, as it parses, with JSON texts behind its items; anything else counts as an empty array."""
+    # the parser stops after one value, so the text is parsed as the only item of an array
+    whole = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), comments, F.lit("]"))), "$", "array<variant>")
+    items = F.when(F.size(whole) == 1, F.try_variant_get(F.get(whole, F.lit(0)), "$", "array<variant>"))
+    old = F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda x: F.to_json(x))
+    return F.concat(F.lit("["), F.array_join(F.concat(old, texts), ","), F.lit("]"))
+
+
 def append_comment(comments: Column, comment: Column) -> Column:
-    """A JSON array of comments with one more at its end; what is not an array gives way to a new one.  comment: a struct."""
-    new = F.to_json(comment)
-    old = F.when(F.json_array_length(comments).isNotNull(), F.regexp_replace(F.trim(comments), r"\s*\]$", ""))
-    return F.when(old.isNull(), F.concat(F.lit("["), new, F.lit("]"))).otherwise(F.concat(old, F.when(F.json_array_length(comments) > 0, ",").otherwise(""), new, F.lit("]")))
+    """A JSON array of comments with one more at its end.  comment: a struct."""
+    return appended(comments, F.array(F.to_json(comment)))

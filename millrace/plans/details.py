@@ -108,14 +108,6 @@ def near_pairs_by_label(registry: DataFrame) -> DataFrame:
     return X.within(points, features, 1000.0).filter("point_id <> feature_id").groupBy("label").agg(F.count("*").alias("pairs"))
 
 
-@query("file_events", sql="""
-SELECT count(*) FILTER (WHERE status = 'pending') AS waiting, count(*) FILTER (WHERE status = 'processing') AS active, min(ts) FILTER (WHERE status = 'pending') AS oldest, max(ts) FILTER (WHERE status = 'pending') AS newest,
-  CAST(100 * count(*) FILTER (WHERE status = 'processing') // count(*) AS BIGINT) AS utilisation FROM file_events""")
-def queue_figures(events: DataFrame) -> DataFrame:
-    pending, active = F.col("status") == "pending", F.col("status") == "processing"
-    return events.agg(F.count_if(pending).alias("waiting"), F.count_if(active).alias("active"), F.min(F.when(pending, F.col("ts"))).alias("oldest"), F.max(F.when(pending, F.col("ts"))).alias("newest"), F.expr("100 * count_if(status = 'processing') div count(*)").alias("utilisation"))
-
-
 @query("file_events", sql=", p AS (SELECT job_id, event_id, CAST(floor(value) AS BIGINT) AS score FROM file_events WHERE status = 'pending') SELECT job_id, event_id, score, row_number() OVER (PARTITION BY job_id ORDER BY score, event_id) AS place FROM p")
 def queue_order(events: DataFrame) -> DataFrame:
     from pyspark.sql import Window
@@ -265,15 +257,6 @@ def queue_waits(events: DataFrame) -> DataFrame:
     return m.select("window_start", "waiting", "active", F.col("score").cast("long").alias("score"), "health")
 
 
-@query("file_events", sql="""
-, p AS (SELECT ts FROM file_events WHERE status = 'pending'), n AS (SELECT max(ts) AS t FROM file_events) SELECT count(*) AS waiting, CAST(sum(epoch_us(n.t) - epoch_us(p.ts)) // count(*) // 1000 AS BIGINT) AS mean_age_ms FROM p, n""")
-def queue_ages(events: DataFrame) -> DataFrame:
-    """Number and mean age of waiting items, as of the newest event."""
-    pending = F.when(F.col("status") == "pending", F.unix_micros(F.col("ts").cast("timestamp")))
-    sums = events.agg(F.count(pending).alias("waiting"), F.sum(pending).alias("s"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"))
-    return sums.select("waiting", F.expr("(t * waiting - s) div waiting div 1000").alias("mean_age_ms"))
-
-
 @query("users", sql="""
 SELECT id, CASE id % 3 WHEN 0 THEN '[{"text":"old"},{"user":' || id || ',"text":"ok"}]' ELSE '[{"user":' || id || ',"text":"ok"}]' END AS comments FROM users""")
 def commented(users: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.scalars import content_type, document_kind
+from .curated import MOST_LITERALS
+from .shared import cut
 
 QUEUE_ITEM = "fileId STRING, jobId STRING, priority INT, timestamp BIGINT, retries INT, status STRING, mode STRING"
 STATUS_EVENT = "jobId STRING, fileId STRING, extraction_status STRING, processing_status STRING, message STRING, error STRING, timestamp STRING"
@@ -52,15 +54,29 @@ def write_curated(df: DataFrame, path: str, by: str = "job_id", files_per_key: i
 
 
 def merge_curated(spark: SparkSession, changes: DataFrame, path: str, keys: list[str], by: str = "job_id") -> None:
-    """Changes into the store by key: a changed row replaces the whole old one, nulls included; other rows stay.
+    """Changes into a store without an index, by key: the greatest change of a key replaces the whole old row, nulls included;
+    other rows stay.
 
-    Only the folders of changed keys are read and replaced.  They are written to the checkpoint folder first, as a folder
-    cannot be read and replaced in one job.
+    If ``by`` is one of the keys, only the folders that changes name are read, as literals of the scan.  Else a key may have
+    been in any folder: keys and folders (two columns) of all rows are read to find out, then the touched folders.  Use
+    CuratedStore to look such keys up instead.
     """
-    touched = changes.select(by).distinct()
+    rest = [c for c in changes.columns if c not in keys]
+    row = F.max(F.struct(*rest)).alias("r__") if rest else F.count("*").alias("r__")
+    new = cut(changes.groupBy(*keys).agg(row).select(*keys, *(["r__.*"] if rest else [])))
     old = spark.read.parquet(path)
-    kept = old.join(touched, by, "left_semi").join(changes.select(*keys), keys, "left_anti")
-    write_curated(kept.unionByName(changes, allowMissingColumns=True).checkpoint(), path, by)
+    touched = new.select(by) if by in keys else new.select(by).union(old.join(new.select(*keys), keys, "left_semi").select(by))
+    folders = [r[0] for r in touched.distinct().limit(MOST_LITERALS + 1).collect()]
+    if len(folders) <= MOST_LITERALS:
+        held = old.filter(F.col(by).isin([x for x in folders if x is not None]) | (F.col(by).isNull() if None in folders else F.lit(False)))
+    else:
+        held = old.join(touched.distinct(), by, "left_semi")
+    now = cut(held.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True))
+    emptied = [] if by in keys else [x for x in folders[:MOST_LITERALS] if x is not None]
+    if emptied:  # a folder is only replaced by rows: one that lost all of them keeps a row without a key
+        gone = cut(held.select(by).distinct().join(now.select(by).distinct(), by, "left_anti"))
+        now = now.unionByName(gone, allowMissingColumns=True)
+    write_curated(now, path, by)
 
 
 def publish(stream: DataFrame, path: str, checkpoint: str, key: str = "job_id"):

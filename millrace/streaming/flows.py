@@ -101,7 +101,8 @@ def request_rate(events: DataFrame, key: str, limit: int, ts: str = "ts", width:
 
 def queue_metrics(events: DataFrame, ts: str = "ts", width: str = "1 hour", wait_ms: Column | None = None) -> DataFrame:
     """Per window: items waiting, in progress, oldest and newest, and the health of the queue; wait_ms: what an event waited,
-    whose mean over the waiting ones counts for health (without it waits count as none)."""
+    whose mean over the waiting ones counts for health (without it waits count as none).  See queue_waiting for the age of
+    the oldest item as the wait."""
     w = F.window(ts, width)
     wait = F.lit(0) if wait_ms is None else F.coalesce(F.avg(F.when(F.col("status") == "pending", wait_ms)), F.lit(0.0))
     m = events.groupBy(w.alias("w")).agg(F.count_if(F.col("status") == "pending").alias("waiting"), F.count_if(F.col("status") == "processing").alias("active"), F.min(ts).alias("oldest"), F.max(ts).alias("newest"), wait.alias("wait") if wait_ms is not None else F.max(F.lit(0)).alias("wait"))
@@ -110,6 +111,47 @@ def queue_metrics(events: DataFrame, ts: str = "ts", width: str = "1 hour", wait
     return out.drop("wait") if wait_ms is None else out.withColumnRenamed("wait", "mean_wait_ms")
 
 
+def newest_items(events: DataFrame, key: str = "file_id", ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """(key, status, ts): where each item stands by its newest event."""
+    return events.groupBy(key).agg(F.max_by(F.struct("status", ts), F.struct(ts, order)).alias("r")).select(key, "r.*")
+
+
+def queue_figures(items: DataFrame, as_of: DataFrame | None = None, ts: str = "ts") -> DataFrame:
+    """One row for a queue of (status, ts): waiting and active items, oldest and newest waiting, utilisation in percent (active
+    of active and waiting, 0 without any active), and as of a time (one row) the mean age of active items and the age of the
+    oldest waiting one in milliseconds, 0 if there is none."""
+    pending, active = F.col("status") == "pending", F.col("status") == "processing"
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    found = items.agg(
+        F.count_if(pending).alias("waiting"),
+        F.count_if(active).alias("active"),
+        F.min(F.when(pending, F.col(ts))).alias("oldest"),
+        F.max(F.when(pending, F.col(ts))).alias("newest"),
+        F.sum(F.when(active, micros)).alias("began"),
+        F.min(F.when(pending, micros)).alias("first"),
+    )
+    share = F.when(F.col("active") > 0, F.lit(100.0) * F.col("active") / (F.col("active") + F.col("waiting"))).otherwise(F.lit(0.0))
+    found = found.withColumn("utilisation", share)
+    if as_of is None:
+        return found.drop("began", "first")
+    now = as_of.toDF("as_of").select(F.unix_micros(F.col("as_of").cast("timestamp")).alias("t"))
+    mean = F.when(F.col("active") > 0, F.expr("(t * active - began) div active div 1000")).otherwise(F.lit(0))
+    wait = F.when(F.col("waiting") > 0, F.expr("(t - first) div 1000")).otherwise(F.lit(0))
+    return found.join(F.broadcast(now)).withColumn("mean_age_ms", mean.cast("long")).withColumn("wait_ms", wait.cast("long")).drop("began", "first", "t")
+
+
+def queue_waiting(events: DataFrame, ts: str = "ts", width: str = "1 hour") -> DataFrame:
+    """Per window, as of its end: the items waiting and in progress, the age of the oldest waiting one as the queue's wait,
+    and the health that follows."""
+    w = F.window(ts, width)
+    pending = F.col("status") == "pending"
+    m = events.groupBy(w.alias("w")).agg(F.count_if(pending).alias("waiting"), F.count_if(F.col("status") == "processing").alias("active"), F.min(F.when(pending, F.col(ts))).alias("oldest"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    m = m.withColumn("wait_ms", F.coalesce(F.floor((micros("w.end") - micros("oldest")) / 1000), F.lit(0)).cast("long"))
+    score, kind = queue_health(F.col("waiting"), F.col("active"), F.col("wait_ms"))
+    return m.select(F.col("w.start").alias("window_start"), "waiting", "active", "wait_ms", score.cast("long").alias("score"), kind.alias("health"))
+
+
 def rollup_of(latest: DataFrame, job: str = "job_id") -> DataFrame:
     """A job's state from its files' latest states: completed if all are, partial if some are, else failed."""
     n = latest.groupBy(job).agg(F.count("*").alias("files"), F.count_if(F.col("status") == "completed").alias("completed"))
@@ -120,6 +162,7 @@ def running_rollup(stream: DataFrame, states: str, rollups: str, checkpoint: str
     """Job states that follow a stream of file events: each micro-batch folds the newest event of each file into the jobs it
     touches, and only those jobs' folders are replaced.  A batch that is run again after a failure gives the same rows."""
     from ..sources.io import write_curated
+    from ..sources.shared import cut
 
     def fold(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -129,7 +172,7 @@ def running_rollup(stream: DataFrame, states: str, rollups: str, checkpoint: str
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        newest = rows.groupBy(job, key).agg(F.max_by(F.struct(ts, order, "status"), F.struct(ts, order)).alias("r")).select(job, key, "r.*").checkpoint()
+        newest = cut(rows.groupBy(job, key).agg(F.max_by(F.struct(ts, order, "status"), F.struct(ts, order)).alias("r")).select(job, key, "r.*"))
         write_curated(newest, states, job)
         write_curated(rollup_of(newest, job), rollups, job)
 
