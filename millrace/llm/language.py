@@ -7,14 +7,20 @@ the text's length wins.  Texts are lower-cased and what is not a letter counts a
 Parsing walks many texts at once over dense transition tables.  Texts are dealt into lanes of LANE symbols; a lane's
 end also ends a phrase, for all languages alike, so whole texts are read whatever their length.
 
-Learning reads whole texts of a bounded sample of labelled rows: at most SAMPLE_ROWS rows a language (one from each
-of as many hash buckets), in hash order until SAMPLE_SYMBOLS are reached.  A null or empty text, or one without a
-letter, is ``und`` with score 0; ties go to the language that sorts first; without any labelled row all is ``und``.
-Repeated rows are judged alike, each by itself; other columns are not read.
-
-Bounds of the model: a language's sample is cut at four times SAMPLE_SYMBOLS where one text alone is longer; at most
-MAX_LANGUAGES languages are learnt (those that sort first); of all letters the MAX_SYMBOLS commonest have a symbol of their own and
-the others share one, which suits alphabets, not scripts of thousands of signs.  Predictions read whole texts.
+Letters are what Unicode counts as such (``str.isalpha``).  The LETTERS commonest letters of the sample have a symbol each;
+all others of it are written as two or three symbols, so that every letter is told apart, in scripts of many signs too,
+while tables stay as wide as an alphabet.  A letter that no sample has matches nothing.
+
+Learning reads whole texts of a bounded sample of labelled rows: at most SAMPLE_ROWS rows a language (one from each of as
+many hash buckets) and TOTAL_ROWS together, first one row of every language, then a second of every, and so on; so every
+label is learnt while there are fewer than TOTAL_ROWS of them (beyond that those that sort first).  Of its rows a
+language takes those up to LONGEST letters, in hash order, until it has its share of symbols: SAMPLE_SYMBOLS, or less
+where there are more than TOTAL_SYMBOLS / SAMPLE_SYMBOLS languages.  If all its rows are longer, it learns from the first LONGEST
+letters of the shortest.  Predictions read whole texts.
+
+A null or empty text, or one without a letter, is ``und`` with score 0; ties go to the language that sorts first; without
+any labelled row (an empty table, too) all is ``und``.  Repeated rows are judged alike, each by itself; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,20 +29,24 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import documents
 
-SAMPLE_ROWS, SAMPLE_SYMBOLS = 32, 24_000
-#: Most languages and most letters that tables are made for: bounds of the broadcast model.
-MAX_LANGUAGES, MAX_SYMBOLS = 64, 250
+SAMPLE_ROWS, SAMPLE_SYMBOLS, LONGEST = 32, 24_000, 96_000
+#: Bounds of what is learnt over all languages.
+TOTAL_ROWS, TOTAL_SYMBOLS = 2048, 400_000
+#: Letters with a symbol of their own, and symbols that lead the others'.
+LETTERS, LEADS = 234, 14
 LANE = 1024
 UNKNOWN = "und"
 _RESULT = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
-_LETTER = re.compile(r"[^\W\d_]")
+#: Word characters that are neither decimal digits nor letters, as fractions and numbers in circles.
+_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
@@ -46,7 +56,7 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
 
 def normalise(text: str) -> str:
     """Lower case; runs of other characters than letters become one space."""
-    return re.sub(r"[\W\d_]+", " ", text.lower()).strip()
+    return _OTHER.sub(" ", text.lower()).strip()
 
 
 def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
@@ -83,18 +93,31 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
 
 
 def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, list[str]]:
-    """Texts to learn from: a row from each hash bucket of each language, by least hash; hot languages pre-aggregate."""
+    """Texts to learn from: a row from each hash bucket of each language, by least hash; hot languages pre-aggregate.
+
+    The languages' rows are picked in turns, the first of each before the second of any.
+    """
     h = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0))
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h"), F.pmod(h, F.lit(SAMPLE_ROWS)).alias("bucket"))
     kept = rows.groupBy("lang", "bucket").agg(F.min("h").alias("h"))
-    texts = rows.join(F.broadcast(kept.orderBy("lang", "h").limit(MAX_LANGUAGES * SAMPLE_ROWS)), ["lang", "bucket", "h"]).dropDuplicates(["lang", "bucket", "h"])
-    found: dict[str, list[str]] = {}
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # over SAMPLE_ROWS rows a language
+    picked = kept.withColumn("turn", turn).orderBy("turn", "lang").limit(TOTAL_ROWS).drop("turn")
+    texts = rows.join(F.broadcast(picked), ["lang", "bucket", "h"]).dropDuplicates(["lang", "bucket", "h"])
+    rows_of: dict[str, list[str]] = {}
     for r in texts.orderBy("lang", "h").collect():
-        have = found.setdefault(r["lang"], [])
-        if sum(map(len, have)) < SAMPLE_SYMBOLS and (t := normalise(r["text"])):
-            have.append(t)
-    return {k: v for k, v in sorted(found.items()) if v}
+        if t := normalise(r["text"]):
+            rows_of.setdefault(r["lang"], []).append(t)
+    share = min(SAMPLE_SYMBOLS, TOTAL_SYMBOLS // max(1, len(rows_of)))
+    found: dict[str, list[str]] = {}
+    for lang, own in sorted(rows_of.items()):
+        have = found.setdefault(lang, [])
+        for t in own:
+            if len(t) <= LONGEST and sum(map(len, have)) < share:
+                have.append(t)
+        if not have:
+            have.append(min(own, key=len)[:LONGEST])
+    return found
 
 
 class Model:
@@ -106,12 +129,17 @@ class Model:
         for c in "".join(t for ts in texts.values() for t in ts):
             counts[c] = counts.get(c, 0) + 1
         counts.pop(" ", None)
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[: MAX_SYMBOLS - 2]
-        self.letters = {" ": 1} | {c: k for k, c in enumerate(letters, 2)}
-        size = len(self.letters) + 1
+        letters = sorted(counts, key=lambda c: (-counts[c], c))
+        self.codes = {" ": (1,)} | {c: (k,) for k, c in enumerate(letters[:LETTERS], 2)}
+        size, rare = min(len(letters), LETTERS) + 2, letters[LETTERS:]
+        if rare:
+            lead, size = size, size + LEADS
+            for k, c in enumerate(rare):  # two symbols for the first, three for the rest
+                high, low = divmod(k, size - 1)
+                self.codes[c] = (lead + high, low + 1) if high < LEADS - 1 else (lead + LEADS - 1, (high - LEADS + 1) % (size - 1) + 1, low + 1)
         self.tables, self.roots, at = [], [], 0
         for ts in texts.values():
-            t = suffix_automaton([self.letters.get(c, 0) for c in " ".join(ts)][: 4 * SAMPLE_SYMBOLS], size)
+            t = suffix_automaton([k for c in " ".join(ts) for k in self.codes.get(c, (0,))], size)
             t[:, 0] = -1
             self.tables.append(np.where(t >= 0, t + at, -1).astype(np.int32))
             self.roots.append(at)
@@ -119,12 +147,20 @@ class Model:
         self.arcs = np.concatenate(self.tables) if self.tables else np.zeros((0, size), np.int32)
         del self.tables
 
-        self.code = np.zeros(0x110000, np.uint8)
-        for c, k in self.letters.items():
-            self.code[ord(c)] = k
+        self.code = np.zeros((3, 0x110000) if rare else (1, 0x110000), np.uint8)
+        for c, own in self.codes.items():
+            self.code[: len(own), ord(c)] = own
+        del self.codes
 
     def symbols(self, text: str) -> np.ndarray:
-        return self.code[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
+        """A text's symbols, up to three a letter; 0 is a letter that no sample has."""
+        letters = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+        if len(self.code) == 1:
+            return self.code[0][letters]
+        each = self.code[:, letters]
+        there = each > 0
+        there[0] = True
+        return each.T[there.T]
 
     def phrases(self, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Number of phrases of each lane (rows, sorted by length downwards) against each language."""
@@ -156,7 +192,7 @@ class Model:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         pieces, owner = [], []
         for k, t in enumerate(texts):
-            if t and self.languages and _LETTER.search(t):
+            if t and self.languages and any(map(str.isalpha, t)):
                 s = self.symbols(normalise(t))
                 for at in range(0, len(s), LANE):
                     pieces.append(s[at : at + LANE])

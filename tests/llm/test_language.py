@@ -81,3 +81,35 @@ def test_edges(spark):
     none = language.identify(docs, language.train(empty_docs(spark))).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
     assert language.identify(empty_docs(spark), language.train(docs)).count() == 0
+
+
+def test_signs_that_are_not_letters():
+    model = language.Model({"a": ["abc"], "b": ["abd"]})
+    names, scores = model.predict(["½ ² ①", "Ⅷ 12 _", "½ ab", "ª"])
+    assert names[:2] == ["und", "und"] and scores[0] == 0 and names[2] != "und" and names[3] != "und"
+    assert language.normalise("A½b²①C") == "a b c"
+
+
+def test_scripts_of_many_signs_are_told_apart():
+    """Two languages over 6,000 signs each, which share none of their frequent pairs."""
+    rnd = np.random.default_rng(1)
+    signs = [chr(0x4E00 + k) for k in range(6000)]
+    learn = {k: ["".join(signs[i] for i in np.roll(rnd.permutation(6000), 0))] for k in ("a", "b")}
+    model = language.Model(learn)
+    assert len(set(map(tuple, (model.symbols(c).tolist() for c in signs)))) == 6000
+    tests = [learn[k][0][at : at + 300] for k in ("a", "b") for at in (0, 1000, 5000)]
+    assert model.predict(tests)[0] == ["a"] * 3 + ["b"] * 3
+
+
+def test_every_label_is_learnt(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}x " * 20, f"l{k:03d}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.Model(language.sample(docs))
+    assert model.languages == [r[2] for r in rows]
+    assert model.predict([r[1] for r in rows])[0] == [r[2] for r in rows]
+
+
+def test_long_rows_are_not_cut_while_others_are_there(spark, monkeypatch):
+    monkeypatch.setattr(language, "LONGEST", 50)
+    docs = spark.createDataFrame([(1, "abc " * 40, "a"), (2, "short text", "a"), (3, "xyz " * 40, "b"), (4, "xyz " * 30, "b")], "doc_id long, text string, lang string")
+    assert language.sample(docs) == {"a": ["short text"], "b": [("xyz " * 30)[:50]]}
