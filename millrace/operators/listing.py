@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import extension
+from ..sources.shared import cut
 
 MAX_UPLOAD = 50 * 1024 * 1024
 #: What may be uploaded, by extension or by content type.
@@ -114,44 +115,51 @@ def admission(files: DataFrame, name: str = "filename", size: str = "size", allo
 
 def unique_slugs(names: DataFrame, base: str, order: str, taken: DataFrame | None = None) -> DataFrame:
     """A slug for every row, in order: the first of base, base-1, base-2 and so on that neither ``taken`` nor a row before
-    has.  A null base has no slug.
+    has.  A null base has no slug; rows of one order value are taken by base.
 
-    Only slugs of one family can clash: those that are the same without numbers at their end.  In a family of one base, the
-    r-th row takes the r-th free number, found from the base's taken numbers.  A family of several bases (say a and a-1) is
-    walked in order by one task.
+    The r-th row of a base cannot get a lower number than r.  So every row proposes that number; where another base's row
+    before it (or ``taken``) holds the slug, it goes on to the next number that is free of such, and pushes the later rows of its base
+    before it.  Slugs thus only pass to rows further ahead, so rounds end, with the same slugs as one row after the other.
+    Only bases that can clash take part: those whose numbered slugs are bases or taken, and those that are such slugs.
     """
-    root = lambda c: F.regexp_replace(c, r"(-[0-9]+)+$", "")
-    rows = names.withColumn("family__", root(F.col(base)))
-    mixed = rows.groupBy("family__").agg((F.min(base) != F.max(base)).alias("mixed__"))
-    rows = rows.join(mixed, "family__", "left")
-    have = (taken.select("slug") if taken is not None else names.sparkSession.createDataFrame([], "slug string")).filter("slug IS NOT NULL").distinct()
-
-    number = F.when(F.col("slug") == F.col(base), F.lit(0)).otherwise(F.nullif(F.regexp_extract("slug", r"-(0|[1-9][0-9]{0,8})$", 1), F.lit("")).cast("int"))
-    bases = rows.filter("NOT mixed__").select(base).distinct()
-    tagged = have.select("slug", F.explode(F.array_distinct(F.array(F.col("slug"), F.regexp_replace("slug", r"-[0-9]+$", "")))).alias(base))
-    used = tagged.join(bases, base).withColumn("n", number).filter((F.col("n") > 0) | (F.col("slug") == F.col(base))).groupBy(base).agg(F.sort_array(F.collect_set("n")).alias("used__"))
-    single = rows.filter("NOT mixed__").withColumn("rank__", F.row_number().over(Window.partitionBy(base).orderBy(order)) - 1).join(used, base, "left")
-    free = F.aggregate(F.coalesce("used__", F.array().cast("array<int>")), F.col("rank__"), lambda at, n: F.when(n <= at, at + 1).otherwise(at))
     columns = [c for c in names.columns if c != "slug"]
-    plain = single.withColumn("k__", free).select(*columns, F.when(F.col("k__") == 0, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("k__"))).alias("slug"))
-
-    def walk(group, other):
-        seen, out = set(other["slug"]), []
-        group = group.sort_values(order)
-        for name in group[base]:
-            slug, k = name, 0
-            while slug in seen:
-                k += 1
-                slug = f"{name}-{k}"
-            seen.add(slug)
-            out.append(slug)
-        group["slug"] = out
-        return group[[*columns, "slug"]]
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in names.dtypes if c != "slug")
-    several = rows.filter("mixed__").select(*columns, "family__").groupBy("family__").cogroup(have.withColumn("family__", root(F.col("slug"))).join(mixed.filter("mixed__"), "family__", "left_semi").groupBy("family__")).applyInPandas(walk, f"{kinds}, slug string")
-    none = rows.filter(F.col(base).isNull()).select(*columns, F.lit(None).cast("string").alias("slug"))
-    return plain.union(several).union(none)
+    text = F.col("slug__")
+    number = F.regexp_extract(text, r"-([1-9][0-9]{0,17})$", 1)
+    stem = F.when(number != "", F.substring(text, F.lit(1), F.length(text) - F.length(number) - 1))
+    have = (taken.select(F.col("slug").alias("slug__")) if taken is not None else names.sparkSession.createDataFrame([], "slug__ string")).filter("slug__ IS NOT NULL").distinct()
+    rows = names.filter(F.col(base).isNotNull()).select(*columns, F.col(base).alias("base__"), F.struct(F.col(order).alias("o"), F.col(base).alias("b")).alias("at__"))
+    rows = rows.withColumn("rank__", F.row_number().over(Window.partitionBy("base__").orderBy("at__")).cast("long") - 1)
+    none = names.filter(F.col(base).isNull()).select(*columns, F.lit(None).cast("string").alias("slug"))
+
+    bases = rows.select(F.col("base__").alias("slug__")).distinct()
+    numbered = bases.select(F.col("slug__").alias("whole"), stem.alias("stem")).filter("stem IS NOT NULL").join(bases.withColumnRenamed("slug__", "stem"), "stem")
+    clash = numbered.select("stem").union(numbered.select("whole")).union(have.select("slug__")).union(have.select(stem.alias("stem")).filter("stem IS NOT NULL"))
+    clash = cut(clash.toDF("base__").distinct())
+    slug = F.when(F.col("low__") == 0, F.col("base__")).otherwise(F.concat_ws("-", "base__", F.col("low__").cast("string")))
+    if not clash.limit(1).count():
+        return rows.withColumn("low__", F.col("rank__")).select(*columns, slug.alias("slug")).union(none)
+    calm = rows.join(clash, "base__", "left_anti").withColumn("low__", F.col("rank__"))
+    busy = cut(rows.join(clash, "base__", "left_semi").withColumn("low__", F.col("rank__")))
+    run = Window.partitionBy("base__", "run__")
+    while True:
+        held = busy.select(slug.alias("slug__"), F.col("base__").alias("of"), "at__").union(have.select("slug__", F.lit(None).cast("string").alias("of"), F.lit(None).cast(busy.schema["at__"].dataType).alias("at__")))
+        claims = held.select(text.alias("base__"), F.lit(0).cast("long").alias("low__"), "of", "at__").union(held.filter(number != "").select(stem, number.cast("long"), "of", "at__"))
+        others = claims.filter(~F.col("of").eqNullSafe(F.col("base__"))).join(clash, "base__", "left_semi")
+        # of several claims on a number the first row's counts, before all rows the taken ones
+        first = others.groupBy("base__", "low__").agg(F.min(F.struct(F.col("at__").isNotNull().alias("row"), "at__")).alias("c"))
+        first = first.withColumn("run__", F.col("low__") - F.row_number().over(Window.partitionBy("base__").orderBy("low__")))
+        first = first.withColumn("last", F.max("low__").over(run)).withColumn("latest", F.max("c").over(run)).select("base__", "low__", "c", "last", "latest")
+        before = lambda c: ~F.col(f"{c}.row") | (F.col(f"{c}.at__") < F.col("at__"))
+        lost = F.coalesce(before("c"), F.lit(False))
+        low = F.when(lost & before("latest"), F.col("last") + 1).when(lost, F.col("low__") + 1).otherwise(F.col("low__"))
+        moved = busy.join(first, ["base__", "low__"], "left").select(*columns, "base__", "at__", "rank__", low.alias("low__"), lost.alias("lost__"))
+        pushed = F.max(F.col("low__") - F.col("rank__")).over(Window.partitionBy("base__").orderBy("rank__").rowsBetween(Window.unboundedPreceding, 0)) + F.col("rank__")
+        now = cut(moved.withColumn("low__", pushed))
+        again = now.filter("lost__").limit(1).count()
+        busy = now.drop("lost__").select(*busy.columns)
+        if not again:
+            break
+    return calm.select(*columns, slug.alias("slug")).union(busy.select(*columns, slug.alias("slug"))).union(none)
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -446,19 +446,6 @@ def record_key_split(files: DataFrame) -> DataFrame:
     return _json(files).select("id", F.try_variant_get(review, F.lit("$"), "string").alias("review"), F.when(others.isNotNull(), F.size(others).cast("long")).alias("other_keys"))
 
 
-@query("jobs")
-def schema_catalogue(jobs: DataFrame) -> DataFrame:
-    import json
-
-    return R.schema_catalogue(jobs.select("id", F.lit(json.dumps(json.dumps({"schema": RECORD}))).alias("schema_data")), "id", "schema_data")
-
-
-@query("job_files")
-def batch_extraction(files: DataFrame) -> DataFrame:
-    rows = files.select("id", F.concat_ws(" ", "filename", "review_status").alias("text"))
-    return R.extract_batches(rows, "id", "text", "length", lambda texts: [{"length": len(t)} for t in texts]).drop("seconds")
-
-
 # --- events, changes, constraints ------------------------------------------------------------------------------
 
 query("file_events", name="latest_status", sql="SELECT file_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(status, (ts, event_id)) AS status FROM file_events GROUP BY 1")(flows.latest_status_batch)

@@ -1,8 +1,9 @@
 """Curated stores, publication, job counts, static sides and timers, over restarts and any split into batches."""
 
-from datetime import UTC, datetime, timedelta
+import json
 import random
 import re
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +199,76 @@ def test_the_registry_is_read_again_after_its_age(spark, tmp_path):
         run()
     got = [(r["batch"], r["name"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("batch").collect()]
     assert got == [(0, "old"), (1, "old"), (2, "new")] and static.version == 2
+
+
+# --- schemas, previews, extraction ------------------------------------------------------------------------------
+
+
+def test_catalogue_equals_a_walk_of_each_schema(spark):
+    from millrace.operators import records as R
+
+    deep = {"type": "object", "properties": {"o'q.x": {"type": ["null", "array"], "items": {"type": "object", "required": ["b"], "properties": {"b": {"type": "integer", "description": "d"}, "c": {"type": "array", "items": {"type": "string"}}}}}, "n": {}}}
+    texts = [json.dumps(deep), json.dumps(json.dumps({"schema": deep})), json.dumps({"schema": json.dumps(deep)}), "[1]", "{", None, json.dumps({"type": "array", "items": deep}), '{"type":"object","properties":3}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    got = sorted((tuple(r) for r in R.schema_catalogue(df, "id", "s").collect()), key=str)
+    want = sorted(((k, *x) for k, t in enumerate(texts) for x in R.catalogue_paths(t)), key=str)
+    assert got == want and len(want) == 16
+    assert R.schema_catalogue(df.limit(0), "id", "s").count() == 0
+
+
+def test_previews_are_written_and_read_back(spark, tmp_path):
+    from millrace.operators import records as R
+
+    previews = spark.createDataFrame([(1, '{"type":"object","properties":{"a":{"type":"integer"},"o":{"type":"object"}}}'), (2, '{"type":"object","properties":{"b":{"type":"boolean"},"a":{"type":"string"}}}'), (3, "none")], "preview_id int, schema string")
+    links = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, "x"), (2, "gone"), (3, "x")], "preview_id int, file_id string")
+    records = spark.createDataFrame([("x", '{"a":5,"b":true,"o":{"k":[1]}}'), ("y", "broken {")], "id string, result string")
+    R.write_previews(*R.preview_rows(previews, links, records), str(tmp_path / "p"))
+    one, two = (R.read_preview(spark, str(tmp_path / "p"), k) for k in (1, 2))
+    assert one.dtypes == [("id", "string"), ("a", "bigint"), ("o", "string")] and two.dtypes == [("id", "string"), ("a", "string"), ("b", "boolean")]
+    assert sorted(map(tuple, one.collect())) == [("x", 5, '{"k":[1]}'), ("y", None, None)]
+    assert sorted(map(tuple, two.collect())) == [("x", None, True)]  # a number is not a string
+    assert "PartitionFilters: [isnotnull(preview_id" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_bad_row_is_one_error(spark):
+    from millrace.operators import records as R
+
+    def call(texts):
+        assert sum(map(len, texts)) <= 40 or len(texts) == 1
+        if any(t == "bad" for t in texts):
+            raise ValueError("no")
+        return [{"n": len(t)} for t in texts]
+
+    rows = [(k, "bad" if k == 13 else "x" * k, "m") for k in range(30)] + [(40, None, "m"), (41, "y", None), (42, "z", "nobody")]
+    got = {r["id"]: r for r in R.extract_batches(spark.createDataFrame(rows, "id int, text string, method string").coalesce(1), "id", "text", "method", {"m": call}, most=40).collect()}
+    assert len(got) == 33 and [k for k, r in got.items() if not r["success"]] == [13, 41, 42]
+    assert got[13]["error"] == "ValueError: no" and got[42]["error"] == "unknown method: nobody" and got[41]["error"] == "unknown method: None"
+    assert all(json.loads(got[k]["data"]) == {"n": k} for k in range(30) if k != 13) and json.loads(got[40]["data"]) == {"n": 0}
+
+
+def test_a_quote_in_a_property_name(spark):
+    from millrace.operators import records as R
+
+    schema = {"type": "object", "required": ["o'q"], "properties": {"o'q": {"type": "integer"}, "back\\slash": {"type": "string"}}}
+    df = spark.createDataFrame([(1, json.dumps({"o'q": 1, "back\\slash": "x"})), (2, json.dumps({"o'q": "s"})), (3, "{}")], "id int, r string")
+    got = {r["id"]: r["v"] for r in df.select("id", R.violations("r", schema).alias("v")).collect()}
+    assert got == {1: [], 2: ["$.o'q: type"], 3: ["$.o'q: required"]}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_slugs_of_clashing_families_follow_the_walk(spark, seed):
+    from millrace.operators import listing as L
+
+    rnd = random.Random(seed)
+    rows = [(k, rnd.choice(["a", "a-1", "a-2", "a-1-1", "b", "b-1", "a-01", "c-3", "c", "a-1-2"])) for k in range(60)]
+    taken = rnd.sample(["a", "a-3", "b-2", "c-1", "a-1-3", "zz"], 3)
+    seen, want = set(taken), {}
+    for k, base in rows:
+        slug, n = base, 0
+        while slug in seen:
+            n += 1
+            slug = f"{base}-{n}"
+        seen.add(slug)
+        want[k] = slug
+    got = L.unique_slugs(spark.createDataFrame(rows, "id int, base string"), "base", "id", spark.createDataFrame([(t,) for t in taken], "slug string"))
+    assert {r["id"]: r["slug"] for r in got.collect()} == want
