@@ -218,3 +218,37 @@ def page_count(pages_json: Column, prior: Column) -> Column:
     number = F.coalesce(*[F.try_variant_get(v, p, "int") for p in ("$", "$.length", "$.count", "$.total")])
     length = F.json_array_length(F.when(F.schema_of_variant(v).startswith("ARRAY"), pages_json))
     return F.coalesce(F.nullif(length, F.lit(0)), number, prior)
+
+
+#: What a request may name.
+EXTRACTION_MODES = ("full_extraction", "text_only")
+EXTRACTION_METHODS = ("mineru", "documentai", "extendai", "paddleocr")
+MODELS = {
+    "openai": ("gpt-4o", "gpt-4o-2024-08-06", "gpt-4", "gpt-3.5-turbo"),
+    "qwen": (
+        "qwen3-max", "qwen3-max-2025-09-23", "qwen3-max-preview", "qwen-max", "qwen-max-latest", "qwen-max-2025-01-25",
+        "qwen-plus", "qwen-plus-latest", "qwen-plus-2025-01-25", "qwen-flash", "qwen-flash-2025-07-28",
+        "qwen-turbo", "qwen-turbo-latest", "qwen-turbo-2024-11-01",
+        "qwen3-coder-plus", "qwen3-coder-plus-2025-07-22", "qwen3-coder-flash", "qwen3-coder-flash-2025-07-28",
+    ),
+}
+
+
+def request_fault(mode: Column, config: Column) -> Column:
+    """The first reason against a request, or null.  mode: null if not given; config: JSON text, null if not given, with
+    ``extraction.method``, ``processing.method`` and ``processing.model``; what is missing or empty is not tested."""
+    v = F.try_parse_json(config)
+    given = lambda path: F.nullif(F.try_variant_get(v, path, "string"), F.lit(""))
+    extraction, method, model = given("$.extraction.method"), given("$.processing.method"), given("$.processing.model")
+    known = F.lit(False)
+    for name, models in MODELS.items():
+        known |= (method == name) & model.isin(*models)
+    said = lambda text, choices: F.lit(f"{text}. Must be one of: {', '.join(choices)}")
+    whole = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    out = F.when(~mode.isin(*EXTRACTION_MODES), "Invalid extraction_mode. Must be 'full_extraction' or 'text_only'")
+    out = out.when(config.isNotNull() & ~whole, "processing_config must be an object")
+    out = out.when(~extraction.isin(*EXTRACTION_METHODS), said("Invalid extraction.method", EXTRACTION_METHODS))
+    out = out.when(~method.isin(*MODELS), said("Invalid processing.method", tuple(MODELS)))
+    for name, models in MODELS.items():
+        out = out.when((method == name) & model.isNotNull() & ~known, said(f"Invalid processing.model for {name}", models))
+    return out

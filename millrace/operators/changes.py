@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import terminal_time
+from ..functions.scalars import owner_slug, terminal_time
 
 
 def last_change(changes: DataFrame, keys: list[str], order: str | None) -> DataFrame:
@@ -123,6 +123,20 @@ def json_array_rows(rows: DataFrame, key: str, column: str, item: str) -> DataFr
     return rows.filter(F.json_array_length(column) > 0).select(key, F.posexplode(F.from_json(column, f"array<{item}>")).alias("pos", "item"))
 
 
+def with_owner_organizations(organizations: DataFrame, users: DataFrame, memberships: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with an organization for every user without a membership, and the membership that makes them its owner.
+
+    The organization's key follows from the user's: the largest key plus the user's id plus one.  The slug ends with the user's id,
+    so doing it again on the results changes nothing.
+    """
+    alone = users.select("id", "name").join(memberships.select(F.col("user_id").alias("id")).distinct(), "id", "left_anti")
+    top = organizations.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top__"))  # one row
+    made = alone.join(F.broadcast(top)).select((F.col("top__") + F.col("id") + 1).alias("key"), F.col("id").alias("user_id"), "name")
+    new = made.select(F.col("key").alias("id"), F.concat("name", F.lit("'s Organization")).alias("name"), F.concat(owner_slug(F.col("name")), F.lit("-org-"), F.col("user_id").cast("string")).alias("slug"), F.lit("free").alias("plan"))
+    owners = made.select("user_id", F.col("key").alias("organization_id"), F.lit("owner").alias("role"))
+    return organizations.unionByName(new.select(*organizations.columns)), insert_ignore(memberships, owners, ["user_id", "organization_id"])
+
+
 # --- constraints -----------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_truthy, haversine, lenient_number, well_number
+from ..functions.scalars import feature_centre, first_truthy, haversine, lenient_number, well_number
 
 #: Codes of the registry and what they mean.
 DATUMS = {"K": "Kelly Bushing", "G": "Ground", "R": "Rotary Table", "D": "Drill Floor"}
@@ -129,12 +129,12 @@ def _cell(degrees: Column, size: float) -> Column:
     return F.floor(degrees / size).cast("long")
 
 
-def within(points: DataFrame, features: DataFrame, metres: float, max_latitude: float = 60.0) -> DataFrame:
+def within(points: DataFrame, features: DataFrame, metres: float, max_latitude: float = 60.0, most: int = 4096) -> DataFrame:
     """Pairs of a point and a feature at most ``metres`` apart, from equal grid cells; each feature stands in its own and
     the eight cells around it.  points: (point_id, lat, lon); features: (feature_id, label, f_lat, f_lon).
 
     Cells are as high as the radius and, up to ``max_latitude``, at least as wide.  Points beyond it meet by a band of
-    latitude alone, so no pair is lost near the poles.
+    latitude alone, so no pair is lost near the poles.  A cell with more than most x most meetings is shared by several tasks.
     """
     import math
 
@@ -148,8 +148,15 @@ def within(points: DataFrame, features: DataFrame, metres: float, max_latitude:
     p = points.withColumn("gy", _cell(F.col("lat"), high)).withColumn("gx", F.when(inner(F.col("lat")), column(F.col("lon"))).otherwise(F.lit(-1).cast("long")))
     f = features.filter(F.col("f_lat").isNotNull() & F.col("f_lon").isNotNull()).withColumn("gy", _cell(F.col("f_lat"), high) + F.lit(0)).withColumn("dy", around)
     f = f.withColumn("gy", F.col("gy") + F.col("dy")).withColumn("gx", F.explode(F.array_distinct(F.array(*[F.pmod(column(F.col("f_lon")) + d, F.lit(columns)) for d in (-1, 0, 1)], F.lit(-1).cast("long"))))).drop("dy")
-    near = p.join(f, ["gy", "gx"]).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")))
-    return near.filter(F.col("distance") <= metres).drop("gy", "gx")
+    # a dense cell is cut into blocks of its points by blocks of its features, so no task compares more than one of each
+    dense = p.groupBy("gy", "gx").agg(F.count("*").alias("np")).join(f.groupBy("gy", "gx").agg(F.count("*").alias("nf")), ["gy", "gx"]).filter(F.col("np") * F.col("nf") > most * most)
+    dense = dense.select("gy", "gx", F.ceil(F.col("np") / most).cast("int").alias("pb"), F.ceil(F.col("nf") / most).cast("int").alias("fb"))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.coalesce(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    p = p.join(dense, ["gy", "gx"], "left").withColumn("p__", own("point_id", F.col("pb"))).withColumn("f__", every(F.col("fb"))).drop("pb", "fb")
+    f = f.join(dense, ["gy", "gx"], "left").withColumn("f__", own("feature_id", F.col("fb"))).withColumn("p__", every(F.col("pb"))).drop("pb", "fb")
+    near = p.join(f, ["gy", "gx", "p__", "f__"]).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")))
+    return near.filter(F.col("distance") <= metres).drop("gy", "gx", "p__", "f__")
 
 
 def nearest_label(points: DataFrame, features: DataFrame, metres: float = 1000.0) -> DataFrame:
@@ -159,6 +166,19 @@ def nearest_label(points: DataFrame, features: DataFrame, metres: float = 1000.0
     return points.select("point_id").join(best, "point_id", "left").select("point_id", F.coalesce("b.label", F.lit(UNKNOWN)).alias("label"), F.col("b.feature_id").alias("feature_id"))
 
 
+def land_use_of_points(points: DataFrame, features: DataFrame, metres: float = 1000.0) -> DataFrame:
+    """(point_id, label, feature_id): the class of the nearest feature whose tags tell one, within the radius.
+
+    features: (feature_id, tags, lat, lon, minlat, maxlat, minlon, maxlon); its own centre counts before its bounds', one
+    without either is nowhere.  points: (point_id, lat, lon); one at zero latitude or longitude, or without, is not looked up.
+    """
+    at = feature_centre(*[F.col(c) for c in ("lat", "lon", "minlat", "maxlat", "minlon", "maxlon")])
+    placed = features.select("feature_id", land_use_class("tags").alias("label"), at.alias("at")).filter("at IS NOT NULL")
+    asked = points.filter((F.coalesce("lat", F.lit(0.0)) != 0) & (F.coalesce("lon", F.lit(0.0)) != 0))
+    found = nearest_label(asked, placed.select("feature_id", "label", F.col("at.lat").alias("f_lat"), F.col("at.lon").alias("f_lon")), metres)
+    return points.select("point_id").join(found, "point_id", "left")
+
+
 def reprocess_plan(files: DataFrame, mine: DataFrame, queued: DataFrame, active: DataFrame, extract: bool = True, process: bool = True, force: bool = False, requested: DataFrame | None = None) -> DataFrame:
     """Per requested file: what would be done, the queue mode, and the first reason to skip it.
 
@@ -173,6 +193,7 @@ def reprocess_plan(files: DataFrame, mine: DataFrame, queued: DataFrame, active:
     done = F.col("extraction_status") == "completed"
     will_extract = F.lit(extract) & (F.lit(force) | ~done)
     will_process = F.lit(process) & (F.col("has_text") | will_extract)
+    #: The reasons, in the order in which they are looked at.
     reason = (
         F.when(F.col("job_id").isNull(), "File not found")
         .when(F.col("own").isNull(), "Access denied")

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from millrace.plans import details, stores  # noqa: F401  (register their queries)
+from millrace.plans import details, rules, stores  # noqa: F401  (register their queries)
 from millrace.plans.registry import ORACLES, QUERIES
 
 from .compare import connect, same
