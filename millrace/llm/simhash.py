@@ -38,13 +38,16 @@ from .common import cut, documents, hashed_words, mix, window_hashes
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Words of a shingle, and the share of common shingles (repeats counted) from which two texts are near duplicates.
 NEAR_SHINGLE, NEAR = 5, 0.8
-#: Fingerprints of a text for candidates.  At NEAR two of them meet with probability 0.7, so PRINTS with 0.97.
+#: Fingerprints of a text for candidates.  At NEAR two of them are within 4 bits with probability
+#: 0.7; as keys often meet beyond that, all of some 1,400 simulated pairs at NEAR or above were candidates.
 PRINTS = 3
 #: Of the 96 bits that a key's rows carry, most that candidates differ in: 2.2 deviations above the mean at NEAR.
 CANDIDATE_BITS = 16
 #: Of the bytes of least hashes that are compared before shingles are, fewest equal ones: 3 deviations below the mean at NEAR.
 SKETCH = 64 * PRINTS
 SKETCH_EQUAL = int(SKETCH * NEAR - 3 * (SKETCH * NEAR * (1 - NEAR)) ** 0.5)
+#: Parts that the rows of a large component are dealt to where they are joined by their label.
+SALT = 64
 #: Bytes of text that one side of a verifying task holds.
 NEAR_BYTES = 4 << 20
 #: Nodes that are broadcast to pick the texts that are candidates; more are joined by a shuffle.
@@ -413,15 +416,20 @@ def verified_links(texts: DataFrame) -> DataFrame:
     first held against the text of its least node; those that are not near it are then compared with all, block by block.
     """
     sizes = texts.groupBy("label").agg(F.ceil(F.sum(F.octet_length("text") + 64) / NEAR_BYTES).cast("int").alias("blocks"), F.min("node").alias("hub"))
-    rows = texts.join(sizes, "label")
-    small = rows.filter("blocks <= 1").select("label", F.lit(0).alias("p"), F.lit(0).alias("q"), "node", "text", F.lit(True).alias("asks"), F.lit(False).alias("linked"))
-    large = rows.filter("blocks > 1")
-    hubs = large.filter("node = hub").select("label", F.col("text").alias("hub_text")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    held = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)).cast("int")).join(hubs, ["label", "salt"])
+    # Large components are few (each has more than NEAR_BYTES); their rows are dealt to SALT parts at every join by label.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    sizes = cut(sizes.filter("blocks > 1"))
+    salted = texts.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
+    of_large = sizes.select("label", "hub", "blocks", salts)
+    small = salted.join(of_large.select("label", "salt"), ["label", "salt"], "left_anti")
+    small = small.select("label", F.lit(0).alias("p"), F.lit(0).alias("q"), "node", "text", F.lit(True).alias("asks"), F.lit(False).alias("linked"))
+    large = salted.join(of_large, ["label", "salt"])
+    hubs = large.filter("node = hub").select("label", F.col("text").alias("hub_text"), salts)
+    held = large.join(hubs, ["label", "salt"])
     held = cut(held.select("label", "node", "hub", "blocks", "text", ((F.col("node") == F.col("hub")) | _near("text", "hub_text")).alias("near")))
     near_hub = held.filter("near AND node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     asking = held.filter("NOT near").groupBy("label").agg(F.ceil(F.sum(F.octet_length("text") + 64) / NEAR_BYTES).cast("int").alias("askers"))
-    spread = held.join(asking, "label")
+    spread = held.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(asking.select("label", "askers", salts), ["label", "salt"])
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     ask = spread.filter("NOT near").select("label", own("askers").alias("p"), others("blocks").alias("q"), "node", "text", F.lit(True).alias("asks"), F.lit(False).alias("linked"))
