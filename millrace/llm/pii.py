@@ -99,6 +99,12 @@ _BRACKET_DOT = re.compile(rf"(?i){_OPEN}(?:{_DOT}|\.){_CLOSE}")
 #: A label's characters up to the next disguise, so that each is read once.
 _LABEL = rf"(?:(?![\x20_-](?:{_AT}|{_DOT})[\x20_-])[A-Za-z0-9-])"
 _WORD_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[\x20_-]{_AT}[\x20_-](?={_LABEL}++(?:{_OPEN}{_DOT}{_CLOSE}|[\x20_-]{_DOT}[\x20_-])[A-Za-z])")
+#: A bare "at" before a domain with plain dots is prose ("look at example.com"), unless the name has what words have not.
+_TOP = r"(?:com|org|net|edu|gov|info|biz|io|eu|de|fr|es|it|uk|us|at|ch|nl|be|mx|ar|example|test|local|invalid)"
+_NAME_AT = re.compile(
+    rf"(?i)(?<![A-Za-z0-9._%+-])(?=[A-Za-z%+-]*+[._0-9])[A-Za-z0-9%+_-]++(?:\.[A-Za-z0-9%+_-]++)*+(?P<at>\x20{_AT}\x20)"
+    rf"(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.{_TOP}(?![A-Za-z0-9-]))"
+)
 _WORD_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[\x20_-]{_DOT}[\x20_-](?=[A-Za-z]{{2,}}(?![A-Za-z]))")
 #: What may stand between an @ and a bare dot word: labels, dots and other dot words.
 _DOMAIN_RUN = re.compile(rf"(?i)@(?:{_LABEL}|\.)*+(?:[\x20_-]{_DOT}[\x20_-](?:{_LABEL}|\.)*+)*+")
@@ -112,7 +118,7 @@ DIGIT_WORDS = {
 }
 _DIGIT_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\x20,.-]{{1,2}})?(?:{_DIGIT_WORD}|[0-9]+)(?:[\x20,.-]{{1,2}}(?:{_DIGIT_WORD}|dot|[0-9]+))+(?!\w)")
-_SPELLED_HINT = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT_WORD})[\x20,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])")
+_SPELLED_HINT = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT_WORD})[\x20,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])|[0-9]\x20dot\x20[0-9]")
 _UNIT = re.compile(rf"(?i)plus|dot|{_DIGIT_WORD}|[0-9]+|[\x20,.-]+")
 _LEET = re.compile(r"(?<=[0-9])[OolI|](?=[0-9])")
 
@@ -157,7 +163,10 @@ def _plain(char: str) -> str:
 def _spelled(tape: Tape):
     for m in _SPELLED.finditer(tape.text):
         units = [(u[0].lower(), u) for u in _UNIT.finditer(m[0])]
-        if sum(u in DIGIT_WORDS for u, _ in units) < 4 and not ("dot" in (u for u, _ in units) and any(u in DIGIT_WORDS for u, _ in units)):
+        words, dots = sum(u in DIGIT_WORDS for u, _ in units), sum(u == "dot" for u, _ in units)
+        digits = words + sum(len(u) for u, _ in units if u[0].isdigit())
+        # four digit words, or a dot beside one, or an address of four numbers, or two words in a number as long as a card's
+        if words < 4 and not (dots and words) and dots < 3 and not (words > 1 and digits >= 12):
             continue
         for u, at in units:
             new = DIGIT_WORDS.get(u) or {"plus": "+", "dot": "."}.get(u) or (u if u[0].isdigit() else "")
@@ -174,6 +183,7 @@ TRANSDUCERS = (
     (_ODD, lambda tape: [(m.start(), m.end(), p) for m in _ODD.finditer(tape.text) if (p := _plain(m[0])) != m[0]]),
     (_AT_HINT, _edits(_BRACKET_AT, "@")),
     (_AT_HINT, _edits(_WORD_AT, "@")),
+    (_AT_HINT, lambda tape: [(*m.span("at"), "@") for m in _NAME_AT.finditer(tape.text)]),
     (_BRACKET_DOT, _edits(_BRACKET_DOT, ".")),
     (re.compile("@"), lambda tape: _word_dots(tape.text)),
     (_SPELLED_HINT, _spelled),

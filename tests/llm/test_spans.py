@@ -54,6 +54,10 @@ def test_secret_base_spans(text):
         ("maria arroba correo punto es", "email", "maria arroba correo punto es"),
         ("call plus one five five five one two three four five six seven", "phone", "plus one five five five one two three four five six seven"),
         ("４111 1111 1111 1111", "card", "４111 1111 1111 1111"),
+        ("mail user42 at example.com", "email", "user42 at example.com"),
+        ("ask john.doe at mail.example.co.uk now", "email", "john.doe at mail.example.co.uk"),
+        ("host 192 dot 168 dot 1 dot 1 is up", "ip", "192 dot 168 dot 1 dot 1"),
+        ("card 4111 11 one one 1111 1111.", "card", "4111 11 one one 1111 1111"),
         ("\U0001f600\U0001f600 one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
     ],
 )
