@@ -426,17 +426,17 @@ def record_outcomes(files: DataFrame) -> DataFrame:
 
 @query("job_files", sql="""
 , c AS (SELECT id, CAST(0 AS BIGINT) AS pos, 1.5 AS size, CAST(page_count AS BIGINT) AS depth FROM job_files WHERE page_count <> 5 UNION ALL SELECT id, 1, 2.5, size FROM job_files WHERE page_count <> 5)
-SELECT id, pos, CAST(size AS DOUBLE) AS size, depth FROM c""")
+SELECT id, pos, CAST(size AS DOUBLE) AS size, depth FROM c UNION ALL SELECT id, NULL, NULL, NULL FROM job_files WHERE page_count = 5""")
 def record_children(files: DataFrame) -> DataFrame:
-    rows = R.typed(_json(files).filter("page_count <> 5"), "result", RECORD).select("id", "record.casing")
+    rows = R.typed(_json(files), "result", RECORD).select("id", "record.casing")
     return R.child_table(rows, "id", "casing").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("preview_items", "job_files", sql="""
 , l AS (SELECT DISTINCT preview_id, file_id FROM preview_items)
-SELECT l.preview_id, f.id, CASE WHEN f.page_count = 2 AND f.permit_number IS NOT NULL THEN CAST(f.size AS VARCHAR) ELSE f.permit_number END AS permit, f.review_status AS review FROM l JOIN job_files f ON f.id = l.file_id WHERE f.page_count <> 5""")
+SELECT l.preview_id, f.id, CASE WHEN f.page_count = 5 THEN NULL WHEN f.page_count = 2 AND f.permit_number IS NOT NULL THEN CAST(f.size AS VARCHAR) ELSE f.permit_number END AS permit, CASE WHEN f.page_count <> 5 THEN f.review_status END AS review FROM l JOIN job_files f ON f.id = l.file_id""")
 def preview_records(items: DataFrame, files: DataFrame) -> DataFrame:
-    return R.preview_table(_arrays(items), _json(files).filter("page_count <> 5"), RECORD).select("preview_id", "id", "permit", "review")
+    return R.preview_table(_arrays(items), _json(files), RECORD).select("preview_id", "id", "permit", "review")
 
 
 @query("job_files", sql="""

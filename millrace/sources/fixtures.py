@@ -70,15 +70,15 @@ SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-'
 FROM lineitem
 """,
     "preview_items": """
-SELECT CAST(l_suppkey % 10 AS BIGINT) AS preview_id,
+SELECT CAST(l_suppkey AS BIGINT) AS preview_id,
        CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' ||
        CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS file_id
-FROM lineitem WHERE l_orderkey % 50 = 0
+FROM lineitem
 UNION ALL
-SELECT CAST(l_partkey % 10 AS BIGINT) AS preview_id,
+SELECT CAST(CASE WHEN l_linenumber < 3 THEN l_suppkey ELSE l_suppkey + 1 END AS BIGINT) AS preview_id,
        CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' ||
        CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS file_id
-FROM lineitem WHERE l_orderkey % 100 = 0
+FROM lineitem
 """,
     "well_registry": """
 SELECT p_partkey AS line_no,
