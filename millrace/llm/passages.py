@@ -14,7 +14,8 @@ passage that a third of all documents hold costs one row a chunk.  Chunks read t
 positions; the texts' exchange is the same in all passes and is reused.
 
 Ids are integers (others are an error, as no order of theirs is told).  Null or empty text: no words.  Equal ids count as one document: neither removes from the other.  A row whose id is
-null removes nothing and loses nothing.
+null removes nothing and loses nothing.  A text of any length is one row of its chunk and read whole; an empty table
+gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ candidates' fingerprints are one bit of a least shingle hash each, which differ
 there are PRINTS of them.
 
 Null or empty text: fingerprint zero, which links like any other.  A null id takes part, but names no component while
-the component has another id.  Repeated rows link to each other and keep their rows.
+the component has another id.  Repeated rows link to each other and keep their rows.  Texts are
+read whole, whatever their length; an empty table gives no rows; of other columns only drop_near_duplicates takes notice,
+which hands them on, whatever their names.  As all texts without a word are equal, it keeps one of them.
 """
 
 from __future__ import annotations
@@ -460,8 +462,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of near duplicates the document with the least id; repeated rows of it count once.  Rows without an
-    id have no part in it and stay."""
+    """Of each group of near duplicates the document with the least id; repeated rows of it count once.  Of rows
+    with one id and one text that differ in other columns any one stays.  Rows without an id have no part in it and stay."""
     first, second = (functools.reduce(lambda name, _: f"{name}_" if name in docs.columns else name, range(len(docs.columns)), x) for x in ("id__", "key__"))
     kept = near_duplicates(docs, id_col, text_col).toDF(first, second)
     keyed = docs.filter(F.col(id_col).isNotNull()).withColumn(first, F.col(id_col)).withColumn(second, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
