@@ -9,6 +9,8 @@ as an empty one, a null role as ``unknown``.  Marks inside a text or a role are
 can open or close a turn.  A turn without a conversation id is a conversation of its own.
 A pair without a difference has the whole conversation as its prompt and two empty completions.  A conversation
 is assembled in one row, as its rendered text is; equal conversations stay apart under their own ids.
+
+An empty table gives no rows; texts of any length are rendered whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -601,7 +601,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, text: str = "text") ->
 
 
 def decode_documents(docs: DataFrame, model: str = MODEL, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
-    """The input with the text that the ids stand for.
+    """The input with the text that the ids stand for; an input column of the name ``to`` is replaced.
 
     The condition keeps the ids' own function, if they come from one, out of this one's batch: called from within, it
     would run twice, once for the ids and once for the text.
