@@ -2,6 +2,11 @@
 
 Each stage is a function of (spark, docs, sf_dir) that takes all rows its predecessor kept.  Stages are written as
 Parquet and read again, so a lost executor repeats one stage at most.
+
+All stages read whole texts, take an empty table (and give one) and hand on every column of their input, whatever its
+name.  A null text counts as an empty one: the quality rules reject both; a stage order without them keeps one text
+without words of all, as they are near duplicates of each other.  Rows without an id are judged by their text; repeated rows
+are kept or dropped alike, but near-dedup keeps one of them.
 """
 
 from __future__ import annotations
