@@ -98,3 +98,34 @@ def test_exchange_finds_the_classes_of_made_pairs(spark):
     _, model, _ = perplexity.train(spark.createDataFrame(rows, "doc_id long, text string"))
     of = lambda w: int(model.classes[int(model.units.of(*perplexity.tokens(pa.array([w]))[:2])[0])])
     assert not {of(w) for w in words[0]} & {of(w) for w in words[1]}
+
+
+def rare_rows():
+    """Two common words and two kinds of words that occur three times each and end alike."""
+    rnd = random.Random(2)
+    kinds = [[f"{kind}{a}{b}zzz" for a in "abcdefghij" for b in "klmnopqr"] for kind in "xy"]
+    rows = []
+    for k in range(3):
+        order = [rnd.sample(kind, len(kind)) for kind in kinds]
+        rows += [(k, " ".join(f"one {x} two {y}" for x, y in zip(*order)))]
+    return kinds, rows
+
+
+def test_every_rare_word_is_moved_by_itself(spark):
+    """Words far below the share that the driver moves, with one ending, get the class of their own neighbours."""
+    kinds, rows = rare_rows()
+    words, _, _ = perplexity.train(spark.createDataFrame(rows, "doc_id long, text string"), units=8, held=1)
+    of = {r["h"]: r["class"] for r in words.collect()}
+    x, y = ({of[int(perplexity.tokens(pa.array([w]))[0].view(np.int64)[0])] for w in kind} for kind in kinds)
+    assert len(x) == len(y) == 1 and x != y
+
+
+@pytest.mark.parametrize("held", [0, 50])
+def test_scores_do_not_depend_on_what_is_held(spark, held):
+    docs = documents(spark, SF)
+    learnt = docs.filter(~held_out("doc_id", 5, 1))
+    rows = []
+    for most in (held, perplexity.HELD):
+        words, model, total = perplexity.train(learnt, held=most)
+        rows.append({r["doc_id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in perplexity.score(docs, words, model, total).collect()})
+    assert rows[0] == rows[1]
