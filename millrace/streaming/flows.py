@@ -127,7 +127,7 @@ def queue_figures(items: DataFrame, as_of: DataFrame | None = None, ts: str = "t
         F.count_if(active).alias("active"),
         F.min(F.when(pending, F.col(ts))).alias("oldest"),
         F.max(F.when(pending, F.col(ts))).alias("newest"),
-        F.sum(F.when(active, micros)).alias("began"),
+        F.sum(F.when(active, micros.cast("decimal(20,0)"))).alias("began"),  # beyond a long from some 5,000 items on
         F.min(F.when(pending, micros)).alias("first"),
     )
     share = F.when(F.col("active") > 0, F.lit(100.0) * F.col("active") / (F.col("active") + F.col("waiting"))).otherwise(F.lit(0.0))
@@ -135,7 +135,7 @@ def queue_figures(items: DataFrame, as_of: DataFrame | None = None, ts: str = "t
     if as_of is None:
         return found.drop("began", "first")
     now = as_of.toDF("as_of").select(F.unix_micros(F.col("as_of").cast("timestamp")).alias("t"))
-    mean = F.when(F.col("active") > 0, F.expr("(t * active - began) div active div 1000")).otherwise(F.lit(0))
+    mean = F.when(F.col("active") > 0, F.expr("(CAST(t AS DECIMAL(19,0)) * CAST(active AS DECIMAL(18,0)) - began) div active div 1000")).otherwise(F.lit(0))
     wait = F.when(F.col("waiting") > 0, F.expr("(t - first) div 1000")).otherwise(F.lit(0))
     return found.join(F.broadcast(now)).withColumn("mean_age_ms", mean.cast("long")).withColumn("wait_ms", wait.cast("long")).drop("began", "first", "t")
 

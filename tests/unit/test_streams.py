@@ -98,3 +98,12 @@ def test_late_events_do_not_rearm(spark, tmp_path):
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     flows.replay(flows.stuck(src, 300_000), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert [r["file_id"] for r in spark.read.schema("file_id string, since timestamp").parquet(str(tmp_path / "out")).collect()] == ["g"]
+
+
+def test_ages_of_a_long_queue(spark):
+    """8,000 items' times in microseconds add up to more than a long holds."""
+    now = datetime(2026, 1, 1, tzinfo=UTC)
+    start = int(now.timestamp() * 1_000_000)
+    items = spark.range(8000).select(F.timestamp_micros(F.lit(start) - (F.col("id") + 1) * 1000).alias("ts"), F.when(F.col("id") < 7999, "processing").otherwise("pending").alias("status"))
+    row = flows.queue_figures(items, spark.createDataFrame([(now,)], "as_of timestamp")).collect()[0]
+    assert (row.active, row.waiting, row.mean_age_ms, row.wait_ms) == (7999, 1, 4000, 8000)
