@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import feature_centre, first_truthy, haversine, lenient_number, well_number
+from .records import let
 
 #: Codes of the registry and what they mean.
 DATUMS = {"K": "Kelly Bushing", "G": "Ground", "R": "Rotary Table", "D": "Drill Floor"}
@@ -107,9 +108,9 @@ def enrichment_outcome(requested: DataFrame, merged: DataFrame, key: str) -> Dat
     return requested.select("file_id").distinct().join(m, "file_id", "left").select("file_id", outcome.alias("outcome"))
 
 
-def tag_key(tags: str) -> Column:
+def tag_key(tags: Column) -> Column:
     """The tag value that decides a feature's class: seven tags by precedence, then kinds of building."""
-    t = lambda k: F.nullif(F.try_element_at(F.col(tags), F.lit(k)), F.lit(""))
+    t = lambda k: F.nullif(F.try_element_at(tags, F.lit(k)), F.lit(""))
     first = F.coalesce(*[t(k) for k in ("landuse", "leisure", "natural", "boundary")], F.when(t("amenity") == "parking", "parking"), F.when(t("highway").isNotNull(), "highway"), F.when(t("aeroway").isNotNull(), "aeroway"))
     b = F.lower(t("building"))
     building = F.when(b.rlike("office|commercial"), "commercial_building").when(b.rlike("apartments|residential|house"), "residential_building").when(b.rlike("warehouse|industrial"), "industrial_building")
@@ -117,12 +118,17 @@ def tag_key(tags: str) -> Column:
 
 
 def land_use_class(tags: str) -> Column:
-    """The land-use class of a feature's tags."""
-    everything = F.lower(F.to_json(F.col(tags)))
-    out = F.when(lookup(tag_key(tags), LAND_USE).isNotNull(), lookup(tag_key(tags), LAND_USE))
-    for words, kind in LAND_USE_WORDS:
-        out = out.when(everything.rlike(words), kind)
-    return out.otherwise(UNKNOWN)
+    """The land-use class of a feature's tags.  Tags, key and text are named once each: a filter by the class that the planner
+    moves below would copy the tags' own expression to each place that names them."""
+
+    def by_words(everything: Column) -> Column:
+        out = F.when(everything.isNull(), UNKNOWN)
+        for words, kind in LAND_USE_WORDS:
+            out = out.when(everything.rlike(words), kind)
+        return out.otherwise(UNKNOWN)
+
+    of = lambda t: F.coalesce(let(tag_key(t), lambda key: lookup(key, LAND_USE)), let(F.lower(F.to_json(t)), by_words))
+    return let(F.col(tags), of)
 
 
 def _cell(degrees: Column, size: float) -> Column:
@@ -135,6 +141,8 @@ def within(points: DataFrame, features: DataFrame, metres: float, max_latitude:
 
     Cells are as high as the radius and, up to ``max_latitude``, at least as wide.  Points beyond it meet by a band of
     latitude alone, so no pair is lost near the poles.  A cell with more than most x most meetings is shared by several tasks.
+    Features stand in up to twelve cells each, which the planner does not count, so it is told to shuffle them.  Where many rows
+    are at equal places, see near_sums and nearest_features, which compare places.
     """
     import math
 
@@ -149,21 +157,56 @@ def within(points: DataFrame, features: DataFrame, metres: float, max_latitude:
     f = features.filter(F.col("f_lat").isNotNull() & F.col("f_lon").isNotNull()).withColumn("gy", _cell(F.col("f_lat"), high) + F.lit(0)).withColumn("dy", around)
     f = f.withColumn("gy", F.col("gy") + F.col("dy")).withColumn("gx", F.explode(F.array_distinct(F.array(*[F.pmod(column(F.col("f_lon")) + d, F.lit(columns)) for d in (-1, 0, 1)], F.lit(-1).cast("long"))))).drop("dy")
     # a dense cell is cut into blocks of its points by blocks of its features, so no task compares more than one of each
-    dense = p.groupBy("gy", "gx").agg(F.count("*").alias("np")).join(f.groupBy("gy", "gx").agg(F.count("*").alias("nf")), ["gy", "gx"]).filter(F.col("np") * F.col("nf") > most * most)
+    dense = p.groupBy("gy", "gx").agg(F.count("*").alias("np")).join(f.groupBy("gy", "gx").agg(F.count("*").alias("nf")).hint("merge"), ["gy", "gx"]).filter(F.col("np") * F.col("nf") > most * most)
     dense = dense.select("gy", "gx", F.ceil(F.col("np") / most).cast("int").alias("pb"), F.ceil(F.col("nf") / most).cast("int").alias("fb"))
     own = lambda key, n: F.pmod(F.xxhash64(key), F.coalesce(n, F.lit(1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
     p = p.join(dense, ["gy", "gx"], "left").withColumn("p__", own("point_id", F.col("pb"))).withColumn("f__", every(F.col("fb"))).drop("pb", "fb")
     f = f.join(dense, ["gy", "gx"], "left").withColumn("f__", own("feature_id", F.col("fb"))).withColumn("p__", every(F.col("pb"))).drop("pb", "fb")
-    near = p.join(f, ["gy", "gx", "p__", "f__"]).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")))
+    near = p.join(f.hint("merge"), ["gy", "gx", "p__", "f__"]).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")))
     return near.filter(F.col("distance") <= metres).drop("gy", "gx", "p__", "f__")
 
 
-def nearest_label(points: DataFrame, features: DataFrame, metres: float = 1000.0) -> DataFrame:
-    """Per point the label of the nearest feature that has a known one within the radius, ties by feature id; else Unknown."""
-    near = within(points, features.filter(F.col("label") != UNKNOWN), metres)
-    best = near.groupBy("point_id").agg(F.min(F.struct("distance", "feature_id", "label")).alias("b"))
-    return points.select("point_id").join(best, "point_id", "left").select("point_id", F.coalesce("b.label", F.lit(UNKNOWN)).alias("label"), F.col("b.feature_id").alias("feature_id"))
+def _point_places(points: DataFrame) -> DataFrame:
+    """The different places of points, each as one."""
+    return points.select("lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct().withColumn("point_id", F.struct("lat", "lon"))
+
+
+def near_sums(points: DataFrame, features: DataFrame, metres: float) -> DataFrame:
+    """(point_id, n_near, ids) of points near any feature: how many there are within the radius, and the sum of their ids.
+
+    Equal places are compared once: those of features with their number and sum, those of points without their ids.
+    """
+    there = features.groupBy("f_lat", "f_lon").agg(F.count("*").alias("n"), F.sum("feature_id").alias("s")).withColumn("feature_id", F.struct("f_lat", "f_lon"))
+    near = within(_point_places(points), there, metres).groupBy("lat", "lon").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return points.join(near, ["lat", "lon"]).groupBy("point_id").agg(F.sum("n").alias("n_near"), F.sum("s").alias("ids"))
+
+
+def nearest_features(points: DataFrame, features: DataFrame, metres: float, most: int) -> DataFrame:
+    """points with ``nearest``, the up to ``most`` nearest features within the radius as (distance, feature_id, label), ties by
+    id, an id once; null if there is none.  Equal places are compared once: of a place's features those of the least ids count."""
+    least = Window.partitionBy("f_lat", "f_lon").orderBy("feature_id")
+    there = features.groupBy("f_lat", "f_lon", "feature_id").agg(F.min("label").alias("label"))
+    there = there.withColumn("n__", F.row_number().over(least)).filter(F.col("n__") <= most).drop("n__")
+    by = Window.partitionBy("lat", "lon").orderBy("b.distance", "feature_id")
+    near = within(_point_places(points), there, metres).groupBy("lat", "lon", "feature_id").agg(F.min(F.struct("distance", "feature_id", "label")).alias("b"))
+    near = near.withColumn("n__", F.row_number().over(by)).filter(F.col("n__") <= most)
+    best = near.groupBy("lat", "lon").agg(F.array_sort(F.collect_list("b")).alias("nearest"))
+    return points.join(best, ["lat", "lon"], "left")
+
+
+def nearest_label(points: DataFrame, features: DataFrame, metres: float = 1000.0, asked: Column | None = None) -> DataFrame:
+    """Per point the label of the nearest feature that has a known one within the radius, ties by feature id; else Unknown, or
+    null where ``asked`` is false."""
+    found = nearest_features(points, features.filter(F.col("label") != UNKNOWN), metres, 1).withColumn("b", F.get("nearest", F.lit(0)))
+    return found.select("point_id", F.coalesce("b.label", F.when(F.lit(True) if asked is None else asked, UNKNOWN)).alias("label"), F.col("b.feature_id").alias("feature_id"))
+
+
+def nearest_other_label(points: DataFrame, features: DataFrame, metres: float = 1000.0) -> DataFrame:
+    """(point_id, label): the same of the features that do not have the point's own id."""
+    found = nearest_features(points, features.filter((F.col("label") != UNKNOWN) & F.col("feature_id").isNotNull()), metres, 2)
+    other = F.get(F.filter("nearest", lambda b: b["feature_id"] != F.col("point_id")), F.lit(0))
+    return found.select("point_id", F.coalesce(other["label"], F.lit(UNKNOWN)).alias("label"))
 
 
 def land_use_of_points(points: DataFrame, features: DataFrame, metres: float = 1000.0) -> DataFrame:
@@ -172,11 +215,15 @@ def land_use_of_points(points: DataFrame, features: DataFrame, metres: float = 1
     features: (feature_id, tags, lat, lon, minlat, maxlat, minlon, maxlon); its own centre counts before its bounds', one
     without either is nowhere.  points: (point_id, lat, lon); one at zero latitude or longitude, or without, is not looked up.
     """
-    at = feature_centre(*[F.col(c) for c in ("lat", "lon", "minlat", "maxlat", "minlon", "maxlon")])
-    placed = features.select("feature_id", land_use_class("tags").alias("label"), at.alias("at")).filter("at IS NOT NULL")
-    asked = points.filter((F.coalesce("lat", F.lit(0.0)) != 0) & (F.coalesce("lon", F.lit(0.0)) != 0))
-    found = nearest_label(asked, placed.select("feature_id", "label", F.col("at.lat").alias("f_lat"), F.col("at.lon").alias("f_lon")), metres)
-    return points.select("point_id").join(found, "point_id", "left")
+    # Each row's class and place are made once, in an array of one, below which the planner moves no filter with copies of them.
+    bounds = ("lat", "lon", "minlat", "maxlat", "minlon", "maxlon")
+    centre = let(F.struct(*bounds), lambda b: feature_centre(*[b[c] for c in bounds]))
+    known = F.filter(F.array(F.struct(land_use_class("tags").alias("label"), centre.alias("at"))), lambda r: (r["label"] != UNKNOWN) & r["at"].isNotNull())
+    placed = features.select("feature_id", F.explode(known).alias("r")).select("feature_id", "r.label", F.col("r.at.lat").alias("f_lat"), F.col("r.at.lon").alias("f_lon"))
+    asked = let(F.struct("lat", "lon"), lambda p: F.when((F.coalesce(p["lat"], F.lit(0.0)) != 0) & (F.coalesce(p["lon"], F.lit(0.0)) != 0), p))
+    at = points.select("point_id", F.explode(F.array(asked)).alias("p")).select("point_id", "p.lat", "p.lon")
+    found = nearest_label(at, placed, metres, F.col("lat").isNotNull())
+    return found.select("point_id", "label", "feature_id")
 
 
 def reprocess_plan(files: DataFrame, mine: DataFrame, queued: DataFrame, active: DataFrame, extract: bool = True, process: bool = True, force: bool = False, requested: DataFrame | None = None) -> DataFrame:

@@ -268,7 +268,7 @@ def _points(registry: DataFrame) -> tuple[DataFrame, DataFrame]:
 @query("well_registry", sql=_POINTS + " SELECT point_id, count(*) AS n_near, CAST(sum(feature_id) AS BIGINT) AS ids FROM d WHERE distance <= 1000 GROUP BY 1")
 def features_within(registry: DataFrame) -> DataFrame:
     points, features = _points(registry)
-    return X.within(points, features, 1000.0).groupBy("point_id").agg(F.count("*").alias("n_near"), F.sum("feature_id").alias("ids"))
+    return X.near_sums(points, features, 1000.0)
 
 
 @query("well_registry", sql=_POINTS + """
