@@ -276,9 +276,7 @@ def features_within(registry: DataFrame) -> DataFrame:
 SELECT p.id AS point_id, coalesce(b.label, 'Unknown') AS label FROM p LEFT JOIN b ON b.point_id = p.id AND b.n = 1 WHERE p.lon IS NOT NULL""")
 def nearest_feature(registry: DataFrame) -> DataFrame:
     points, features = _points(registry)
-    near = X.within(points, features.filter("label <> 'Unknown'"), 1000.0).filter("point_id <> feature_id")
-    best = near.groupBy("point_id").agg(F.min(F.struct("distance", "feature_id", "label")).alias("b"))
-    return points.select("point_id").join(best, "point_id", "left").select("point_id", F.coalesce("b.label", F.lit("Unknown")).alias("label"))
+    return X.nearest_other_label(points, features)
 
 
 @table_query("part", sql="""
