@@ -33,8 +33,7 @@ def land_use_of_wells(registry: DataFrame) -> DataFrame:
     low, high = F.when(bounded, lon - 0.001).otherwise(F.lit(float("nan"))), lon + 0.001
     features = registry.select(n.alias("feature_id"), tags.alias("tags"), F.when(centred, lat).alias("lat"), F.when(centred, lon).alias("lon"), (lat - 0.001).alias("minlat"), (lat + 0.001).alias("maxlat"), low.alias("minlon"), high.alias("maxlon"))
     points = registry.select(n.alias("point_id"), lat.alias("lat"), lon.alias("lon"))
-    found = X.land_use_of_points(points, features)
-    return found.join(points.select("point_id", "lon"), "point_id").select("point_id", F.when(F.col("lon").isNotNull(), F.col("label")).alias("label"), "feature_id")
+    return X.land_use_of_points(points, features)
 
 
 @query("job_files", "well_registry", "preview_items", sql="""
