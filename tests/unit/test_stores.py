@@ -230,6 +230,25 @@ def test_previews_are_written_and_read_back(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(preview_id" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rows_of_previews_move_as_text(spark):
+    """Links and results are shuffled once by file and once by preview, before results are parsed."""
+    from millrace.operators import records as R
+
+    previews = spark.createDataFrame([(1, '{"type":"object","properties":{"a":{"type":"integer"}}}')], "preview_id long, schema string")
+    links = spark.range(10).select(F.lit(1).cast("long").alias("preview_id"), F.col("id").cast("string").alias("file_id"))
+    records = spark.range(10).select(F.col("id").cast("string").alias("id"), F.lit('{"a":1}').alias("result"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, _ = R.preview_rows(previews, links.union(links), records)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
+    assert sum(x.startswith("id#") for x in exchanges) == 2 and not any("," in x for x in exchanges)
+    # the only parsed values below an exchange are those of schemas
+    assert "members" not in plan and rows.count() == 10
+
+
 def test_one_bad_row_is_one_error(spark):
     from millrace.operators import records as R
 
